@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, functions as F
 
@@ -85,10 +85,9 @@ def repaired_flag(flag: Column, duplicate: Column) -> Column:
 
 def trend_pattern(cols: list[Column]) -> Column:
     """One word for a row of trend codes: all missing, all up, all down, or mixed."""
-    codes = F.array(*cols)
 
     def only(code: str) -> Column:
-        return F.coalesce(F.forall(codes, lambda x: x == code), F.lit(False))
+        return F.coalesce(reduce(and_, [c == code for c in cols]), F.lit(False))
 
     return (
         F.when(only(MISSING_TEXT), "ALL_NULL")

@@ -21,6 +21,8 @@ from broadloom.operators.selectors import col
 
 EXPRESSION_PAIRS = 12
 TASKS_PER_CORE = 4
+LEAST_TASKS = 4096
+CELLS_PER_STEP = 4_000_000
 
 _SUMMARY = "x_ord int, y_ord int, n double, mx double, my double, sxx double, syy double, sxy double"
 
@@ -104,8 +106,10 @@ def _by_gram(df: DataFrame, fields: list[str], targets: list[str] | None, tasks:
     wanted = list(dict.fromkeys(fields + (targets or [])))
     at = {n: i for i, n in enumerate(wanted)}
     values = df.select(*[col(n).cast("double").alias(f"v{i}") for n, i in at.items()])
-    # fewer, longer tasks mean fewer summaries to merge; a no-op when there are fewer partitions
-    values = values.coalesce(tasks or TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    # fewer, longer tasks mean fewer summaries to merge; a no-op when there are fewer partitions. The
+    # floor keeps a cluster busy that has not been given all its executors yet.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    values = values.coalesce(tasks or max(LEAST_TASKS, TASKS_PER_CORE * cores))
     summaries = values.mapInArrow(
         _summariser([at[f] for f in fields], None if targets is None else [at[t] for t in targets]), _SUMMARY
     )
@@ -147,8 +151,9 @@ def _summariser(left: list[int], right: list[int] | None):
     """The per-task part of the Gram strategy: Arrow batches in, one line per pair out.
 
     Columns are shifted by the first value the task sees, which keeps the sums small and makes a
-    constant column exactly zero.
+    constant column exactly zero. Wide batches are taken in slices to bound the memory of a step.
     """
+    cells = CELLS_PER_STEP
 
     def run(batches):
         import numpy as np
@@ -156,10 +161,15 @@ def _summariser(left: list[int], right: list[int] | None):
 
         square = right is None
         chosen = sorted(set(left) | set(right or []))
+        most_rows = max(1, cells // len(chosen))
+
+        def slices():
+            for batch in batches:
+                for start in range(0, batch.num_rows, most_rows):
+                    yield batch.slice(start, most_rows)
+
         shift = sums = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices():
             data = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in chosen]).astype("float64")
             present = ~np.isnan(data)
             if shift is None:
@@ -214,9 +224,9 @@ def _summariser(left: list[int], right: list[int] | None):
 
 def both_ways(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The square matrix in long form ``(x, y, r)``: both orientations and a NULL diagonal."""
-    spark = pairs.sparkSession
-    diagonal = spark.createDataFrame([(f, f, None) for f in fields], "x string, y string, r double")
-    return pairs.select("x", "y", "r").union(pairs.select(F.col("y"), F.col("x"), "r")).union(diagonal)
+    turned = F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
+    diagonal = pairs.sparkSession.createDataFrame([(f, f, None) for f in fields], "x string, y string, r double")
+    return pairs.select(F.inline(turned)).union(diagonal)
 
 
 def known_pairs(pairs: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
-from broadloom.operators import correlation, encoding, knockout, manifest, selectors
+from broadloom.operators import correlation, encoding, joins, knockout, manifest, selectors
 from broadloom.plans import features as ft, flows, twin_sql as sql
 from broadloom.plans.registry import query
+from broadloom.session import shared_path, stage
+from broadloom.sources import files
 
 NUMBERS = ft.ORDER_NUMBERS
 CLASSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -108,21 +111,24 @@ def corr_strict_099(spark, folder):
 
 
 _TARGET_PAIRS = sql.target_pairs(FLAGGED_SQL, NUMBERS, TARGETS)
+_WITH_TARGET = [*NUMBERS, "urgent"]
 
 
 @query(
     "corr_to_target",
-    f"""WITH {_PAIRS}, {sql.verdicts()},
-    {sql.target_pairs(FLAGGED_SQL, NUMBERS, TARGETS[:1]).replace("src AS", "flagged AS").replace("FROM src", "FROM flagged").replace("pairs AS", "tpairs AS")}
-    SELECT x AS term, round(r, 6) AS r, round(abs(r), 6) AS abs_r FROM tpairs
-    WHERE x NOT IN (SELECT field FROM verdicts WHERE verdict = 'DROP')""",
+    f"""WITH {sql.pairs(f"SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS urgent FROM ({sql.ORDER_FEATURES})", _WITH_TARGET)},
+    {sql.verdicts()}
+    SELECT x AS term, round(r, 6) AS r, round(abs(r), 6) AS abs_r FROM pairs
+    WHERE y = 'urgent' AND x NOT IN (SELECT field FROM verdicts WHERE verdict = 'DROP')""",
 )
 def corr_to_target(spark, folder):
-    """Relevance of the surviving fields for one target flag."""
-    flagged = _flagged(spark, folder)
-    pairs = correlation.correlation_pairs(flagged, NUMBERS, TARGETS[:1], strategy="gram")
-    dropped = _verdicts(spark, folder).where(F.col("verdict") == "DROP")
-    rows = knockout.target_relevance(pairs, TARGETS[0], dropped)
+    """Relevance of the surviving fields for one target flag: drop list and relevance from one matrix."""
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)
+    df = ft.order_features(spark, folder).withColumn("urgent", urgent)
+    pairs = stage(correlation.correlation_pairs(df, _WITH_TARGET), "pairs")
+    out = knockout.knock_outs(knockout.correlated(pairs.where(F.col("y") != "urgent")))
+    dropped = knockout.verdicts(_catalog(spark), out).where(F.col("verdict") == "DROP")
+    rows = knockout.target_relevance(pairs, "urgent", dropped)
     return rows.select("term", F.round("r", 6).alias("r"), F.round("abs_r", 6).alias("abs_r"))
 
 
@@ -212,20 +218,38 @@ def correlation_cut_flow(spark, folder):
     return cut.manifest.join(reasons, "field", "left")
 
 
-_KEPT = ["o_orderkey", "o_totalprice", "line_cnt", "price_sum", "net_sum"]
+_SURVIVORS = [n for n in NUMBERS if n != "net_sum"]
+_MONEY = ["o_totalprice", "c_acctbal", "qty_sum", "price_sum", "disc_sum", "tax_sum", "qty_max"]
 
 
 @query(
     "manifest_projection",
-    f"""SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice, line_cnt, round(price_sum, 4) AS price_sum,
-      round(net_sum, 4) AS net_sum FROM ({sql.ORDER_FEATURES}) WHERE line_cnt IS NOT NULL""",
+    "SELECT o_orderkey, o_orderpriority, "
+    + ", ".join(f"round({n}, 4) AS {n}" if n in _MONEY else n for n in _SURVIVORS)
+    + f" FROM ({sql.ORDER_FEATURES})",
 )
 def manifest_projection(spark, folder):
-    """A feature table cut down to a manifest read as a table of names."""
-    df = ft.order_features(spark, folder)
-    listed = manifest.manifest(
-        selectors.field_catalog(df, *_KEPT[:1]), selectors.field_catalog(df, *_KEPT[1:]), SOURCE
-    )
-    cut = flows.project(df, listed).where(F.col("line_cnt").isNotNull())
-    money = [F.round(F.col(n), 4).alias(n) for n in ("price_sum", "net_sum")]
-    return cut.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"), "line_cnt", *money)
+    """A final field list, written and read back as CSV, applied to the feature table, and the class
+    label joined back to it by key. At r >= .99 only the net total falls."""
+    df = stage(ft.order_features(spark, folder), "features")
+    numbers = selectors.without(df, "o_orderpriority")
+    out = knockout.knock_outs(knockout.correlated(correlation.correlation_pairs(numbers, NUMBERS), 0.85, 0.99))
+    path = shared_path(spark, "elimination")
+    files.write_csv(knockout.verdicts(_catalog(spark), out), path)
+    listed = files.read_csv(spark, path, "field string, ordinal int, knocked_out_by string, r double, verdict string")
+    kept = selectors.column_values(listed.where("verdict = 'KEEP'").orderBy("ordinal"), "field")
+    features = selectors.pick(numbers, "o_orderkey", selectors.all_of(kept))
+    labelled = joins.natural_join(features, df.select("o_orderkey", "o_orderpriority"), "left")
+    final = selectors.pick(labelled, "o_orderkey", "o_orderpriority", selectors.everything())
+    return final.select(*[F.round(n, 4).alias(n) if n in _MONEY else n for n in final.columns])
+
+
+@query(
+    "label_index",
+    """SELECT o_orderkey, o_orderpriority, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS label FROM orders""",
+)
+def label_index(spark, folder):
+    """A class as a number, in name order."""
+    orders = ft.table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    indexer = StringIndexer(inputCol="o_orderpriority", outputCol="label", stringOrderType="alphabetAsc")
+    return indexer.fit(orders).transform(orders)

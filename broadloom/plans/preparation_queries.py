@@ -608,8 +608,31 @@ def refreshed_shares(spark, folder):
     )
 
 
-_TREND_LEVELS = ["D", "NULL", "U"]
-_PATTERNS = ["1PLUS_DIFF_UT", "ALL_DOWN", "ALL_NULL", "ALL_UP"]
+def _coded(case, field, levels):
+    return ", ".join(f"CASE WHEN {case} = '{v}' THEN 1 ELSE 0 END AS \"{field}_{v}\"" for v in levels)
+
+
+_COUNT_CASE = "CASE WHEN {0} = -1 THEN 'NULL' WHEN {0} = 0 THEN 'ZERO' ELSE '1PLUS' END"
+
+
+@query(
+    "encoded_codes",
+    f"""SELECT o_orderkey, n_name, line_cnt,
+      {_coded(_SEGMENT_CASE.replace("segment", "c_mktsegment"), "c_mktsegment", ["BIN_A", "BIN_B", "NULL"])},
+      {_coded(_REGION_CASE, "r_name", ["EAST", "OTHER", "WEST"])},
+      {_coded(_COUNT_CASE.format("ret_cnt"), "ret_cnt", ["1PLUS", "ZERO"])},
+      {_coded(_COUNT_CASE.format("open_cnt"), "open_cnt", ["1PLUS", "NULL", "ZERO"])}
+    FROM (SELECT o_orderkey, c_mktsegment, r_name, n_name, ret_cnt, coalesce(line_cnt, -1) AS line_cnt,
+            coalesce(open_cnt, -1) AS open_cnt FROM ({sql.ORDER_FEATURES}))""",
+)
+def encoded_codes(spark, folder):
+    """Codes and counts binned, filled, cleaned and one-hot encoded; the nations are too many and stay."""
+    df = ft.order_features(spark, folder).select(
+        "o_orderkey", "c_mktsegment", "r_name", "n_name", "line_cnt", "ret_cnt",
+        F.coalesce("open_cnt", F.lit(-1)).alias("open_cnt"),
+    )
+    rules = [BinRule("c_mktsegment", _SEGMENT_RULE.bins), _REGION_RULE]
+    return flows.encoded_codes(stage(df, "assembled"), rules, ["ret_cnt", "open_cnt"])
 
 
 @query("trend_features")

@@ -23,7 +23,7 @@ from broadloom.operators import importance as imp
 from broadloom.operators.selectors import col
 from broadloom.operators.shadows import ROWS_PER_BLOCK, block_count, shadow_blocks, shadow_name, with_shadows
 from broadloom.operators.splitting import fold
-from broadloom.session import stage
+from broadloom.session import spread, stage
 
 LEAST_SHADOWS = 5
 
@@ -104,7 +104,7 @@ def all_relevant(
 def _staged_blocks(table: DataFrame, key: str, columns: Sequence[str], seed: int, rows_per_block: int) -> DataFrame:
     staged = stage(table, "features")
     blocks = block_count(staged.count(), rows_per_block)
-    return stage(shadow_blocks(staged, key, columns, blocks, seed), "blocks")
+    return spread(stage(shadow_blocks(staged, key, columns, blocks, seed), "blocks"))
 
 
 def _relevance(blocks: DataFrame, label: str, fields: list[str], max_runs: int, forest: Forest) -> Relevance:
@@ -188,7 +188,7 @@ def recursive_elimination(
     mean importance over the resamples.
     """
     fields = list(fields)
-    table = stage(model_table(df, key, target, fields, forest.classes), "features")
+    table = spread(stage(model_table(df, key, target, fields, forest.classes), "features"))
     steps = sorted({s for s in sizes if s < len(fields)} | {len(fields)}, reverse=True)
     scores: list[tuple[int, int, int, str, float]] = []
     ranks: dict[str, float] = dict.fromkeys(fields, 0.0)

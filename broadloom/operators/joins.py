@@ -62,9 +62,10 @@ def restrict(df: DataFrame, allowed: DataFrame, key: str, allowed_key: str | Non
 
 def membership_flag(df: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
     """1 where the key is listed in ``members``, else 0. Listed keys are made distinct first."""
+    kept = df.select(*[col(n) for n in minus_names(df.columns, [flag])])
     listed = members.select(col(key)).where(col(key).isNotNull()).distinct().withColumn(flag, F.lit(1))
-    kept = df.join(listed, key, "left")
-    return kept.select(*[col(n) for n in minus_names(df.columns, [flag])], F.coalesce(col(flag), F.lit(0)).alias(flag))
+    joined = kept.join(listed, key, "left")
+    return joined.select(*[col(n) for n in kept.columns], F.coalesce(col(flag), F.lit(0)).alias(flag))
 
 
 def replace_columns(df: DataFrame, updates: DataFrame, key: str, stale: Iterable[str] | None = None) -> DataFrame:

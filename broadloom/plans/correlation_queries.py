@@ -55,14 +55,14 @@ _MANIFEST = f"""{_FINAL}, listed AS (
         UNION ALL SELECT 1, ordinal, field FROM final WHERE final_verdict = 'KEEP'))"""
 
 
-@query("corr_knockout", f"{_VERDICTS} SELECT field, ordinal, knocked_out_by, round(r, 6) AS r, verdict FROM verdicts")
+@query("corr_knockout", f"{_VERDICTS} SELECT field, ordinal, knocked_out_by, round(r, 6) + 0.0 AS r, verdict FROM verdicts")
 def corr_knockout(spark, folder):
     """Pairs at |r| >= .85 and, per field, the earlier field that knocks it out."""
     table = _verdicts(spark, folder)
     return table.select("field", "ordinal", "knocked_out_by", F.round("r", 6).alias("r"), "verdict")
 
 
-@query("corr_pairs_full", f"WITH {_PAIRS} SELECT x, y, round(r, 6) AS r FROM pairs WHERE r IS NOT NULL")
+@query("corr_pairs_full", f"WITH {_PAIRS} SELECT x, y, round(r, 6) + 0.0 AS r FROM pairs WHERE r IS NOT NULL")
 def corr_pairs_full(spark, folder):
     """Lower triangle of the matrix in long form."""
     return correlation.known_pairs(_pairs(spark, folder)).select("x", "y", F.round("r", 6).alias("r"))
@@ -70,8 +70,8 @@ def corr_pairs_full(spark, folder):
 
 @query(
     "corr_matrix_long",
-    f"""WITH {_PAIRS} SELECT x, y, round(r, 6) AS r FROM pairs
-    UNION ALL SELECT y, x, round(r, 6) FROM pairs
+    f"""WITH {_PAIRS} SELECT x, y, round(r, 6) + 0.0 AS r FROM pairs
+    UNION ALL SELECT y, x, round(r, 6) + 0.0 FROM pairs
     UNION ALL SELECT field, field, NULL FROM (SELECT DISTINCT field FROM cells)""",
 )
 def corr_matrix_long(spark, folder):
@@ -93,7 +93,7 @@ _STRICT_SQL = f"""SELECT *, 2 * price_sum + 1 AS price_scaled, -price_sum AS pri
 @query(
     "corr_strict_099",
     f"""WITH {sql.pairs(_STRICT_SQL, _STRICT_NUMBERS)}, {sql.verdicts(0.85, 0.99, _STRICT_NUMBERS)}
-    SELECT field, knocked_out_by, round(r, 6) AS r FROM verdicts WHERE verdict = 'DROP'""",
+    SELECT field, knocked_out_by, round(r, 6) + 0.0 AS r FROM verdicts WHERE verdict = 'DROP'""",
 )
 def corr_strict_099(spark, folder):
     """Near duplicates only: r itself at .99, so a negated copy stays."""
@@ -118,7 +118,7 @@ _WITH_TARGET = [*NUMBERS, "urgent"]
     "corr_to_target",
     f"""WITH {sql.pairs(f"SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS urgent FROM ({sql.ORDER_FEATURES})", _WITH_TARGET)},
     {sql.verdicts()}
-    SELECT x AS term, round(r, 6) AS r, round(abs(r), 6) AS abs_r FROM pairs
+    SELECT x AS term, round(r, 6) + 0.0 AS r, round(abs(r), 6) AS abs_r FROM pairs
     WHERE y = 'urgent' AND x NOT IN (SELECT field FROM verdicts WHERE verdict = 'DROP')""",
 )
 def corr_to_target(spark, folder):
@@ -135,7 +135,7 @@ def corr_to_target(spark, folder):
 @query(
     "corr_multi_target",
     f"WITH {_TARGET_PAIRS} SELECT x AS term, "
-    + ", ".join(f"round(max(r) FILTER (WHERE y = '{t}'), 6) AS \"{t}\"" for t in TARGETS)
+    + ", ".join(f"round(max(r) FILTER (WHERE y = '{t}'), 6) + 0.0 AS \"{t}\"" for t in TARGETS)
     + " FROM pairs GROUP BY x",
 )
 def corr_multi_target(spark, folder):
@@ -206,7 +206,7 @@ def manifest_sql(spark, folder):
 @query(
     "correlation_cut_flow",
     f"""{_MANIFEST} SELECT CAST(l.position AS INTEGER) AS position, l.field, l.source,
-      f.verdict, round(f.r, 6) AS r
+      f.verdict, round(f.r, 6) + 0.0 AS r
     FROM listed l LEFT JOIN final f ON l.field = f.field""",
 )
 def correlation_cut_flow(spark, folder):
@@ -253,3 +253,23 @@ def label_index(spark, folder):
     orders = ft.table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
     indexer = StringIndexer(inputCol="o_orderpriority", outputCol="label", stringOrderType="alphabetAsc")
     return indexer.fit(orders).transform(orders)
+
+
+@query(
+    "wide_corr_knockout",
+    f"""WITH {sql.wide_pairs()}, {sql.verdicts(0.85, None, ft.WIDE_FIELDS)}
+    SELECT field, ordinal, knocked_out_by, round(r, 6) + 0.0 AS r, verdict FROM verdicts""",
+)
+def wide_corr_knockout(spark, folder):
+    """The knock-out over a wide, gappy table: 168 columns, 14,028 pairs, each on its own rows."""
+    pairs = correlation.correlation_pairs(ft.part_features(spark, folder), ft.WIDE_FIELDS)
+    catalog = spark.createDataFrame(list(enumerate(ft.WIDE_FIELDS)), "ordinal int, field string")
+    table = knockout.verdicts(catalog, knockout.knock_outs(knockout.correlated(pairs)))
+    return table.select("field", "ordinal", "knocked_out_by", F.round("r", 6).alias("r"), "verdict")
+
+
+@query("wide_corr_pairs", f"WITH {sql.wide_pairs()} SELECT x, y, round(r, 6) + 0.0 AS r, n FROM pairs")
+def wide_corr_pairs(spark, folder):
+    """Every pair of the wide table with its correlation and the rows behind it."""
+    pairs = correlation.correlation_pairs(ft.part_features(spark, folder), ft.WIDE_FIELDS)
+    return pairs.where("n > 0").select("x", "y", F.round("r", 6).alias("r"), "n")

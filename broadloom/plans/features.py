@@ -103,3 +103,28 @@ def event_trends(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col(f"{t}_1") > F.col(f"{t}_0"), "U").when(F.col(f"{t}_1") < F.col(f"{t}_0"), "D").otherwise("NULL")
     )
     return per_user.select("user_id", *[code(t).alias(f"{t}_TREND_CATG") for t in EVENT_TYPES])
+
+
+MEASURES = ["qty_sum", "line_cnt", "price_sum", "disc_max"]
+WIDE_CELLS = [f"{flag}_{status}_{line}" for flag in "ANR" for status in "FO" for line in range(1, 8)]
+WIDE_FIELDS = [f"{cell}_{m}" for cell in WIDE_CELLS for m in MEASURES]
+
+
+def part_features(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per part, one column per line status, line number and measure: a wide, gappy table.
+
+    Lines are first summed per part and cell, so the pivot only moves those sums into columns.
+    """
+    cell = F.concat_ws("_", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))
+    return (
+        table(spark, folder, "lineitem")
+        .withColumn("cell", cell)
+        .groupBy("l_partkey")
+        .pivot("cell", WIDE_CELLS)
+        .agg(
+            F.sum("l_quantity").alias("qty_sum"),
+            F.count(F.lit(1)).alias("line_cnt"),
+            F.sum("l_extendedprice").alias("price_sum"),
+            F.max("l_discount").alias("disc_max"),
+        )
+    )

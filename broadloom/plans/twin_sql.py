@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from broadloom.plans.features import EVENT_TYPES, ORDER_KEY, ORDER_NUMBERS
+from broadloom.plans.features import EVENT_TYPES, ORDER_KEY, ORDER_NUMBERS, WIDE_CELLS, WIDE_FIELDS
 
 ORDER_FEATURES = """
 SELECT o.o_orderkey, o.o_orderpriority, o.o_orderstatus, c.c_mktsegment, n.n_name, r.r_name,
@@ -49,6 +49,18 @@ def _trend(kind: str) -> str:
 EVENT_TRENDS = f"SELECT user_id, {', '.join(_trend(t) for t in EVENT_TYPES)} FROM events GROUP BY user_id"
 
 
+def _cell(cell: str) -> str:
+    flag, status, line = cell.split("_")
+    rows = f"FILTER (WHERE l_returnflag = '{flag}' AND l_linestatus = '{status}' AND l_linenumber = {line})"
+    return (
+        f"sum(l_quantity) {rows} AS {cell}_qty_sum, nullif(count(*) {rows}, 0) AS {cell}_line_cnt, "
+        f"sum(l_extendedprice) {rows} AS {cell}_price_sum, max(l_discount) {rows} AS {cell}_disc_max"
+    )
+
+
+PART_FEATURES = f"SELECT l_partkey, {', '.join(_cell(c) for c in WIDE_CELLS)} FROM lineitem GROUP BY l_partkey"
+
+
 def listed(values: Iterable[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -73,6 +85,11 @@ pairs AS (
   GROUP BY a.field, a.ord, b.field, b.ord)"""
 
 
+def wide_pairs() -> str:
+    """Like :func:`pairs` over the part features."""
+    return pairs(PART_FEATURES, WIDE_FIELDS, "l_partkey")
+
+
 def target_pairs(source: str, fields: Sequence[str], targets: Sequence[str], key: str = ORDER_KEY) -> str:
     """``src`` and ``pairs(x, x_ord, y, y_ord, r)`` of fields by targets."""
     rows = []

@@ -27,7 +27,7 @@ def twin_rows(folder: str, sql: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else value + 0.0
+        return None if math.isnan(value) else value
     return value
 
 
@@ -44,7 +44,7 @@ def differences(df, folder: str, sql: str) -> str | None:
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     for g, w in zip(got, want):
-        if g != w or any(type(a) is not type(b) for a, b in zip(g, w)):
+        if any(repr(a) != repr(b) for a, b in zip(g, w)):
             return f"{dict(zip(order, g))} != {dict(zip(order, w))}"
     kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
     spark_types = [kinds.get(df.schema[c].dataType.simpleString(), "?") for c in order]

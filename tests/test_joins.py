@@ -124,3 +124,31 @@ def test_rule_accuracy(spark):
     got = {r.actual: r.asDict() for r in ranking.rule_accuracy(df, "actual", "guess").collect()}
     assert got["A"]["prct"] == pytest.approx(1 / 3) and got["A"]["prct_pos"] == 0.5
     assert got["B"]["hits"] is None and got["B"]["prct"] is None and got["B"]["unknown"] == 1
+
+
+def test_a_hot_key_is_split_at_run_time(spark):
+    """Beyond the broadcast threshold the partition of a hot key is split, and no row is lost."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        n = 60_000
+        facts = spark.range(n, numPartitions=8).select(
+            "id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.md5(F.col("id").cast("string")).alias("pad")
+        )
+        lookup = spark.range(n, numPartitions=8).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+        joined = joins.natural_join(facts, lookup)
+        got = joined.select(F.count("pad").alias("n"), F.sum("w").alias("w"), F.max("pad").isNull().alias("none"))
+        want = n // 3 * 14 + 2 * sum(i for i in range(n) if i % 3)
+        assert [tuple(r) for r in got.collect()] == [(n, want, False)]
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

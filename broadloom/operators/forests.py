@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -23,7 +24,7 @@ from broadloom.operators import importance as imp
 from broadloom.operators.selectors import col
 from broadloom.operators.shadows import ROWS_PER_BLOCK, block_count, shadow_blocks, shadow_name, with_shadows
 from broadloom.operators.splitting import fold
-from broadloom.session import spread, stage
+from broadloom.session import shared_path, spread, stage
 
 LEAST_SHADOWS = 5
 
@@ -143,23 +144,38 @@ def chunked_relevance(
     max_runs: int = 11,
     forest: Forest = Forest(),
     rows_per_block: int = ROWS_PER_BLOCK,
+    folder: str | None = None,
 ) -> DataFrame:
     """All-relevant selection per numeric target and column chunk: ``(target, chunk, field, …)``.
 
     The blocks of a chunk hold all targets, so the data is exchanged once per chunk, not once per
-    target and run.
+    target and run. With ``folder`` each result is saved as it is found, and a job that starts again
+    with the same folder goes on with what is missing.
     """
-    targets = list(targets)
-    parts = []
+    spark, targets = df.sparkSession, list(targets)
+    folder = folder or shared_path(spark, "relevance")
+    done = _saved(spark, folder)
     for chunk, fields in sorted(chunks.items()):
-        numbers = df.select(col(key), *[col(t).cast("double").alias(t) for t in targets], *[_filled(f).alias(f) for f in fields])
+        open_targets = [t for t in targets if (t, chunk) not in done]
+        if not open_targets:
+            continue
+        labels = [col(t).cast("double").alias(t) for t in targets]
+        numbers = df.select(col(key), *labels, *[_filled(f).alias(f) for f in fields])
         blocks = _staged_blocks(numbers, key, [*targets, *fields], forest.seed, rows_per_block)
-        for target in targets:
+        for target in open_targets:
             found = _relevance(blocks, target, list(fields), max_runs, forest).fields
-            parts.append(found.select(F.lit(target).alias("target"), F.lit(chunk).alias("chunk"), "*"))
-    from broadloom.operators.ranking import stacked
-
-    return stacked(parts)
+            labelled = found.select(F.lit(target).alias("target"), F.lit(chunk).alias("chunk"), "*")
+            labelled.coalesce(1).write.mode("append").parquet(folder)  # one row per field
+    return spark.read.parquet(folder)
+
+
+def _saved(spark, folder: str) -> set[tuple[str, int]]:
+    """The targets and chunks a results folder already has."""
+    try:
+        saved = spark.read.parquet(folder)
+    except AnalysisException:  # nothing saved yet
+        return set()
+    return {(r["target"], r["chunk"]) for r in saved.select("target", "chunk").distinct().collect()}
 
 
 @dataclass

@@ -68,20 +68,29 @@ def membership_flag(df: DataFrame, members: DataFrame, key: str, flag: str) -> D
     return joined.select(*[col(n) for n in kept.columns], F.coalesce(col(flag), F.lit(0)).alias(flag))
 
 
+def same_key(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a comparable key: as they are when the types agree, else both as text.
+
+    A cast key hashes differently, so an unneeded cast would exchange a table once more.
+    """
+    if left.schema[key].dataType == right.schema[key].dataType:
+        return left, right
+    return key_as_text(left, key), key_as_text(right, key)
+
+
+def key_as_text(df: DataFrame, key: str) -> DataFrame:
+    return df.select(*[col(n).cast("string").alias(n) if n == key else col(n) for n in df.columns])
+
+
 def replace_columns(df: DataFrame, updates: DataFrame, key: str, stale: Iterable[str] | None = None) -> DataFrame:
-    """Drop stale columns, then left join their new versions. Keys are compared as text.
+    """Drop stale columns, then left join their new versions; keys of different types match as text.
 
     ``stale`` names the columns to drop; by default all that ``updates`` brings.
     """
     fresh = minus_names(updates.columns, [key])
     old = list(stale) if stale is not None else fresh
-    base = without(df, any_of(minus_names(set(old) | set(fresh), [key])))
-    as_text = lambda t: t.select(*[c_ if n != key else c_.cast("string").alias(key) for n, c_ in _cols(t)])
-    return as_text(base).join(as_text(updates), key, "left")
-
-
-def _cols(df: DataFrame):
-    return [(n, col(n)) for n in df.columns]
+    base, updates = same_key(without(df, any_of(minus_names(set(old) | set(fresh), [key]))), updates, key)
+    return base.join(updates, key, "left")
 
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:

@@ -203,6 +203,18 @@ def manifest_sql(spark, folder):
     return manifest.select_statement(_manifest(spark, folder))
 
 
+@query(
+    "text_roundtrip",
+    f"""{_MANIFEST} SELECT unnest(string_split('SELECT ' || chr(10) || string_agg(field, ',' || chr(10) ORDER BY position)
+      || chr(10) || 'FROM ' || min(source), chr(10))) AS value FROM listed""",
+)
+def text_roundtrip(spark, folder):
+    """The statement written to a text file in the shared folder, read back line by line."""
+    path = shared_path(spark, "statement")
+    files.write_text(manifest.select_statement(_manifest(spark, folder)), path)
+    return files.read_text(spark, path)
+
+
 @query(
     "correlation_cut_flow",
     f"""{_MANIFEST} SELECT CAST(l.position AS INTEGER) AS position, l.field, l.source,

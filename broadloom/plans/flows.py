@@ -98,11 +98,14 @@ def refreshed_table(
     total: str,
     front: Sequence[str] = (),
 ) -> DataFrame:
-    """Replace stale columns by key, flag listed keys, order the columns and turn amounts into shares."""
-    fresh = joins.replace_columns(df, updates, key)
-    keyed = members.select(col(key).cast("string").alias(key))
-    flagged = joins.membership_flag(fresh, keyed, key, member_flag)
-    ordered = pick(flagged.select(*[col(n) for n in sorted(flagged.columns)]), key, *front, member_flag, everything())
+    """Replace stale columns by key, flag listed keys, order the columns and turn amounts into shares.
+
+    All joins use the key as it is stored, so tables partitioned by it are not exchanged again; it
+    becomes text at the end.
+    """
+    flagged = joins.membership_flag(*joins.same_key(df, members, key), key, member_flag)
+    fresh = joins.key_as_text(joins.replace_columns(flagged, updates, key), key)
+    ordered = pick(fresh, key, *front, member_flag, all_of(sorted(fresh.columns)))
     return cleaning.shares(ordered, shared, total)
 
 

@@ -187,7 +187,8 @@ def _lagged(spark, folder):
 def replace_columns(spark, folder):
     """Totals replaced by their lagged versions, keys compared as text."""
     base = ft.customer_features(spark, folder).select("c_custkey", "c_mktsegment", "all_order_cnt", "all_rev_sum")
-    return _rounded(joins.replace_columns(base, _lagged(spark, folder), "c_custkey"), 4)
+    lagged = joins.key_as_text(_lagged(spark, folder), "c_custkey")
+    return _rounded(joins.replace_columns(base, lagged, "c_custkey"), 4)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -54,3 +56,19 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 def write_text(one_row: DataFrame, path: str) -> None:
     """Write a one-row, one-column table (a column list, a statement) as one text file."""
     one_row.coalesce(1).write.text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a text artefact, ``(value)``."""
+    return spark.read.text(path)
+
+
+def save_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Save named tables for a later session, replacing earlier versions."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """Load tables saved by :func:`save_tables`."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}

@@ -39,6 +39,13 @@ def test_text_sink(spark):
     assert "".join(p.read_text() for p in Path(path).glob("part-*")) == "a,\nb\n"
 
 
+def test_named_tables(spark, tmp_path):
+    for n in (3, 5):  # a later version replaces the earlier one
+        files.save_tables({"a": spark.range(n), "b": spark.range(2)}, str(tmp_path))
+    back = files.load_tables(spark, str(tmp_path), ["a", "b"])
+    assert back["a"].count() == 5 and back["b"].count() == 2
+
+
 def test_stage_cuts_lineage_and_keeps_the_schema(spark):
     df = spark.range(10).selectExpr("id", "id % 3 AS k").groupBy("k").count()
     staged = stage(df, "t")

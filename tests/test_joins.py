@@ -55,6 +55,8 @@ def test_replaced_columns(spark, left):
     assert {r.id: (r.k, r.v, r.extra) for r in out.collect()} == {
         "1": ("a", 11, 5), "2": (None, 22, 6), "3": ("c", None, None),
     }
+    plain = joins.replace_columns(left, fresh.selectExpr("int(id) id", "v"), "id")
+    assert plain.schema["id"].dataType.simpleString() == "int" and plain.count() == 3
     stale = joins.replace_columns(left, fresh.select("id", "extra"), "id", stale=["k", "not_there"])
     assert stale.columns == ["id", "v", "extra"]
 

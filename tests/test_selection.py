@@ -141,12 +141,18 @@ def test_key_or_target_as_feature_is_an_error(planted):
         forests.all_relevant(df, "id", "flag", ["id", *names])
 
 
-def test_chunked_relevance(planted):
+def test_chunked_relevance_goes_on_where_it_stopped(planted, tmp_path, monkeypatch):
     df, names = planted
     df = df.withColumn("other", F.when(F.col("n1") > 0, 1).otherwise(0))
-    out = forests.chunked_relevance(
-        df, "id", ["flag", "other"], {0: names[:3], 1: names[3:]}, max_runs=3, forest=forests.Forest(trees=10, depth=3)
-    )
+    chunks, folder = {0: names[:3], 1: names[3:]}, str(tmp_path / "relevance")
+    settings = {"max_runs": 3, "forest": forests.Forest(trees=10, depth=3), "folder": folder}
+    part = forests.chunked_relevance(df, "id", ["flag", "other"], {0: chunks[0]}, **settings)
+    assert part.count() == 6
+    fits = []
+    real = forests._relevance
+    monkeypatch.setattr(forests, "_relevance", lambda b, t, f, *a: fits.append((t, f)) or real(b, t, f, *a))
+    out = forests.chunked_relevance(df, "id", ["flag", "other"], chunks, **settings)
+    assert fits == [("flag", names[3:]), ("other", names[3:])]
     rows = out.collect()
     assert len(rows) == 12 and {(r.target, r.chunk) for r in rows} == {(t, c) for t in ("flag", "other") for c in (0, 1)}
     best = max((r for r in rows if r.target == "other"), key=lambda r: r.median_imp)

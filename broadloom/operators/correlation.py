@@ -17,7 +17,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from broadloom.operators.selectors import col
+from broadloom.operators.selectors import col, quoted_name
 
 EXPRESSION_PAIRS = 12
 TASKS_PER_CORE = 4
@@ -60,7 +60,9 @@ def correlation_pairs(
 
 
 def _name_at(names: Sequence[str], ordinal: str) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(ordinal) + 1)
+    # one expression text: hundreds of separate literals would take the driver seconds to build
+    texts = ("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
+    return F.expr(f"element_at(array({', '.join(texts)}), {ordinal} + 1)")
 
 
 def _r() -> Column:
@@ -105,7 +107,7 @@ def _by_expressions(df: DataFrame, fields: list[str], targets: list[str] | None)
 def _by_gram(df: DataFrame, fields: list[str], targets: list[str] | None, tasks: int | None) -> DataFrame:
     wanted = list(dict.fromkeys(fields + (targets or [])))
     at = {n: i for i, n in enumerate(wanted)}
-    values = df.select(*[col(n).cast("double").alias(f"v{i}") for n, i in at.items()])
+    values = df.selectExpr(*[f"CAST({quoted_name(n)} AS DOUBLE) AS v{i}" for n, i in at.items()])
     # fewer, longer tasks mean fewer summaries to merge; a no-op when there are fewer partitions. The
     # floor keeps a cluster busy that has not been given all its executors yet.
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -31,9 +31,13 @@ class Selector:
         return Selector(lambda s: minus_names(s.names, self._choose(s)))
 
 
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted_name(name))
 
 
 def _by_name(test: Callable[[str], bool]) -> Selector:
@@ -112,12 +116,12 @@ def _resolve(df: DataFrame, parts: Iterable[str | Selector]) -> list[str]:
 
 def pick(df: DataFrame, *parts: str | Selector) -> DataFrame:
     """Keep columns in the given order; ``pick(df, 'key', everything())`` moves ``key`` to the front."""
-    return df.select(*[col(n) for n in _resolve(df, parts)])
+    return df.select(*[quoted_name(n) for n in _resolve(df, parts)])
 
 
 def without(df: DataFrame, *parts: str | Selector) -> DataFrame:
     """Drop columns; a plain name that is absent is an error (Spark's own drop would be silent)."""
-    return df.select(*[col(n) for n in minus_names(df.columns, _resolve(df, parts))])
+    return df.select(*[quoted_name(n) for n in minus_names(df.columns, _resolve(df, parts))])
 
 
 def without_except(df: DataFrame, dropped: Iterable[str], spared_pattern: str) -> DataFrame:
@@ -128,7 +132,7 @@ def without_except(df: DataFrame, dropped: Iterable[str], spared_pattern: str) -
 
 
 def alphabetical(df: DataFrame) -> DataFrame:
-    return df.select(*[col(n) for n in sorted(df.columns)])
+    return df.select(*[quoted_name(n) for n in sorted(df.columns)])
 
 
 def renamed(df: DataFrame, new_from_old: dict[str, str]) -> DataFrame:

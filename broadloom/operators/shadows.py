@@ -1,9 +1,10 @@
 """Shadow columns: every field again, its values moved to other rows.
 
 Rows are dealt into blocks by key hash, each block is put in hash order, and a shadow is its column
-rotated by an offset drawn per run and field. Blocks are random sets of rows of bounded size, so a
-rotation keeps each column's distribution exactly while breaking its tie to the target and to other
-columns. The data is exchanged once; further runs only rotate the stored blocks.
+rotated by an offset drawn per run and field: whole arrays are sliced, no value is looked up singly.
+Blocks are random sets of rows of bounded size, so a rotation keeps each column's distribution exactly
+while breaking its tie to the target and to other columns. The data is exchanged once; further runs
+only rotate the stored blocks.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ import hashlib
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from broadloom.functions import cells
-from broadloom.operators.selectors import col
+from broadloom.operators.selectors import col, quoted_name
 
 ROWS_PER_BLOCK = 1000
 
@@ -48,15 +49,14 @@ def with_shadows(
 ) -> DataFrame:
     """Rows again: the ``keep`` columns and, for each run and field, a rotated copy."""
     runs = list(runs)
-    size = F.size("rows")
+    q = quoted_name
+    arrays = blocks.selectExpr(*[f"rows.{q(n)} AS {q(n)}" for n in dict.fromkeys([*keep, *fields])], "size(rows) AS __size")
 
-    def rotated(position: Column, run: int, field: str) -> Column:
+    def rotated(run: int, field: str) -> str:
         # 1 … size-1, so that no row keeps its own value (a block of one row has to)
-        offset = F.pmod(F.lit(offset_draw(seed, run, field)), F.greatest(size - 1, F.lit(1))) + 1
-        return F.get(F.col("rows"), F.pmod(position + offset, size).cast("int"))[field]
+        offset = f"CAST({offset_draw(seed, run, field)} % greatest(__size - 1, 1) + 1 AS INT)"
+        turned = f"concat(slice({q(field)}, {offset} + 1, __size - {offset}), slice({q(field)}, 1, {offset}))"
+        return f"{turned} AS {q(shadow_name(field, run))}"
 
-    def whole(row: Column, position: Column) -> Column:
-        copies = [rotated(position, r, f).alias(shadow_name(f, r)) for r in runs for f in fields]
-        return F.struct(*[row[n].alias(n) for n in keep], *copies)
-
-    return blocks.select(F.inline(F.transform("rows", whole)))
+    whole = arrays.selectExpr(*[q(n) for n in keep], *[rotated(r, f) for r in runs for f in fields])
+    return whole.selectExpr(f"inline(arrays_zip({', '.join(q(n) for n in whole.columns)}))")

@@ -160,3 +160,10 @@ def test_long_forms(spark, mixed):
     assert all(r.r is not None for r in known)
     wide = c.focus(c.correlation_pairs(df, names[1:], names[:1]), names[:1])
     assert wide.columns == ["term", "c0"] and wide.count() == len(names) - 1
+
+
+def test_awkward_names(spark):
+    names = ["a.b", "it's", "back\\slash", "tick`"]
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 1.0), (2.0, 4.0, 1.0, 0.0), (3.0, 5.0, 2.0, 5.0)], names)
+    rows = c.correlation_pairs(df, names, strategy="gram").collect()
+    assert {(r.x, r.y) for r in rows} == {(a, b) for i, a in enumerate(names) for b in names[i + 1 :]}

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from broadloom.functions import cells
 from broadloom.operators import importance as imp
+from broadloom.operators.joins import assert_unique
 from broadloom.operators.selectors import col
 from broadloom.operators.shadows import ROWS_PER_BLOCK, block_count, shadow_blocks, shadow_name, with_shadows
 from broadloom.operators.splitting import fold
@@ -103,7 +104,7 @@ def all_relevant(
 
 
 def _staged_blocks(table: DataFrame, key: str, columns: Sequence[str], seed: int, rows_per_block: int) -> DataFrame:
-    staged = stage(table, "features")
+    staged = assert_unique(stage(table, "features"), key)  # a repeated key would make one block as large
     blocks = block_count(staged.count(), rows_per_block)
     return spread(stage(shadow_blocks(staged, key, columns, blocks, seed), "blocks"))
 

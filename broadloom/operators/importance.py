@@ -11,17 +11,23 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from broadloom.operators.ranking import first_per, top_per
+
 # Fixed value: the significance level of the published method.
 P_VALUE = 0.01
 
 HISTORY = "run int, field string, importance double, is_shadow boolean"
 
 
-def hits(history: DataFrame) -> DataFrame:
-    """Real fields with ``hit``: importance above the best shadow of the same run."""
-    best = history.groupBy("run").agg(F.max(F.when(F.col("is_shadow"), F.col("importance"))).alias("shadow_max"))
-    real = history.where(~F.col("is_shadow")).select("run", "field", "importance")
-    return real.join(best, "run").withColumn("hit", F.when(F.col("importance") > F.col("shadow_max"), 1).otherwise(0))
+def hits(history: DataFrame, within: Iterable[str] = ()) -> DataFrame:
+    """Real fields with ``hit``: importance above the best shadow of the same run.
+
+    ``within`` names columns (target, chunk) whose runs are separate.
+    """
+    keys = [*within, "run"]
+    best = history.groupBy(*keys).agg(F.max(F.when(F.col("is_shadow"), F.col("importance"))).alias("shadow_max"))
+    real = history.where(~F.col("is_shadow")).select(*keys, "field", "importance")
+    return real.join(best, keys).withColumn("hit", F.when(F.col("importance") > F.col("shadow_max"), 1).otherwise(0))
 
 
 def tail_at_least(hit_count: int, runs: int) -> float:
@@ -50,9 +56,9 @@ def decision(hit_count: Column, runs: int, fields: int, p_value: float = P_VALUE
     return F.element_at(words, hit_count.cast("int") + 1)
 
 
-def statistics(hit_rows: DataFrame, runs: int) -> DataFrame:
-    """``(field, mean_imp, median_imp, min_imp, max_imp, norm_hits)`` per field."""
-    return hit_rows.groupBy("field").agg(
+def statistics(hit_rows: DataFrame, runs: int, within: Iterable[str] = ()) -> DataFrame:
+    """``(within…, field, mean_imp, median_imp, min_imp, max_imp, norm_hits)`` per field."""
+    return hit_rows.groupBy(*within, "field").agg(
         F.avg("importance").alias("mean_imp"),
         F.median("importance").alias("median_imp"),
         F.min("importance").alias("min_imp"),
@@ -67,8 +73,6 @@ def first_listed(ranked: DataFrame, targets: Iterable[str], k: int) -> DataFrame
     ``ranked`` has ``(target, field, median_imp, …)``; the result adds the target's ``list_no`` and the
     ``rank`` within it.
     """
-    from broadloom.operators.ranking import first_per, top_per
-
     order = [F.desc_nulls_last("median_imp"), F.asc("field")]
     best = top_per(ranked, ["target"], order, k)
     listed = F.array_position(F.array(*[F.lit(t) for t in targets]), F.col("target")).alias("list_no")

@@ -224,25 +224,27 @@ _PER_BLOCK = 1000
 
 
 def _blocks(spark, folder):
-    """Orders with lines in shadow blocks: features, and the order's price total as the response."""
+    """Orders with lines in shadow blocks: features, and the order's totals as responses."""
+    columns = [*FIELDS, RESPONSE, "net_sum"]
     df = ft.order_features(spark, folder).where(F.col("has_line_flg") == 1)
-    kept = df.select(ft.ORDER_KEY, *[F.col(n).cast("double").alias(n) for n in [*FIELDS, RESPONSE]])
+    kept = df.select(ft.ORDER_KEY, *[F.col(n).cast("double").alias(n) for n in columns])
     staged = stage(kept, "features")
     count = shadows.block_count(staged.count(), _PER_BLOCK)
-    return shadows.shadow_blocks(staged, ft.ORDER_KEY, [ft.ORDER_KEY, *FIELDS, RESPONSE], count, SEED)
+    return shadows.shadow_blocks(staged, ft.ORDER_KEY, [ft.ORDER_KEY, *columns], count, SEED)
 
 
-def _history(spark, folder):
-    """Importance as |r| with the response, for the fields and for the shadows of every run."""
-    rows = shadows.with_shadows(_blocks(spark, folder), [*FIELDS, RESPONSE], FIELDS, RUNS, SEED)
+def _history(spark, folder, responses=(RESPONSE,)):
+    """Importance as |r| with each response, for the fields and for the shadows of every run."""
+    rows = shadows.with_shadows(_blocks(spark, folder), [*FIELDS, *responses], FIELDS, RUNS, SEED)
     names = {shadows.shadow_name(f, r): (r, f) for r in RUNS for f in FIELDS}
-    pairs = correlation.correlation_pairs(rows, [*FIELDS, *names], [RESPONSE], strategy="gram")
+    pairs = correlation.correlation_pairs(rows, [*FIELDS, *names], responses, strategy="gram")
+    # real fields have no run of their own: they stand in every run
+    known = [(n, [r], f, True) for n, (r, f) in names.items()] + [(f, list(RUNS), f, False) for f in FIELDS]
+    labels = spark.createDataFrame(known, "x string, runs array<int>, field string, is_shadow boolean")
     score = F.coalesce(F.abs("r"), F.lit(0.0)).alias("importance")
-    shadow = spark.createDataFrame([(n, r, f) for n, (r, f) in names.items()], "x string, run int, field string")
-    copies = pairs.join(shadow, "x").select("run", "field", score, F.lit(True).alias("is_shadow"))
-    runs = F.explode(F.sequence(F.lit(RUNS[0]), F.lit(RUNS[-1])))
-    real = pairs.join(shadow.select("x"), "x", "left_anti").select(runs.alias("run"), F.col("x").alias("field"), score)
-    return copies.unionByName(real.withColumn("is_shadow", F.lit(False)))
+    return pairs.join(labels, "x").select(
+        F.col("y").alias("target"), F.explode("runs").alias("run"), "field", score, "is_shadow"
+    )
 
 
 def _offset_sql(run, field, size):
@@ -330,6 +332,55 @@ def importance_stats(spark, folder):
     return table.select("field", *rounded, imp.decision(hit_count, runs, len(FIELDS)).alias("decision"))
 
 
+_CHUNK = 5
+_RESPONSES = ["price_sum", "net_sum"]
+
+
+def _chunk_history_sql():
+    r = "abs(covar_pop({v}, p.{t}) / nullif(stddev_pop({v}) * stddev_pop(p.{t}), 0))"
+    parts = []
+    for t in _RESPONSES:
+        moved, real = f"coalesce({r.format(v='m.v', t=t)}, 0)", f"coalesce({r.format(v='v.v', t=t)}, 0)"
+        parts.append(
+            f"SELECT '{t}' AS target, m.run, m.field, {moved} AS importance, true AS is_shadow "
+            "FROM moved m JOIN placed p ON m.block = p.block AND m.pos = p.pos GROUP BY m.run, m.field "
+            f"UNION ALL SELECT '{t}', r.run, v.field, {real}, false "
+            "FROM vals v JOIN placed p ON v.block = p.block AND v.pos = p.pos CROSS JOIN runs r GROUP BY r.run, v.field"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "chunked_ranking",
+    f"""WITH {_SHADOW_SQL[: _SHADOW_SQL.index("history AS (")]}
+    fields(ordinal, field) AS (VALUES {", ".join(f"({i}, '{f}')" for i, f in enumerate(FIELDS))}),
+    history AS (SELECT h.*, f.ordinal // {_CHUNK} AS chunk FROM ({_chunk_history_sql()}) h JOIN fields f ON h.field = f.field),
+    best AS (SELECT target, chunk, run, max(importance) AS shadow_max FROM history WHERE is_shadow GROUP BY target, chunk, run),
+    stats AS (
+      SELECT h.target, h.chunk, h.field, median(h.importance) AS median_imp,
+        sum(CASE WHEN h.importance > b.shadow_max THEN 1 ELSE 0 END) / {len(RUNS)} AS norm_hits
+      FROM history h JOIN best b ON h.target = b.target AND h.chunk = b.chunk AND h.run = b.run
+      WHERE NOT h.is_shadow GROUP BY h.target, h.chunk, h.field),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY median_imp DESC NULLS LAST, field) AS rank,
+      CASE target {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(_RESPONSES, 1))} END AS list_no FROM stats)
+    SELECT field, target, CAST(chunk AS INTEGER) AS chunk, list_no, CAST(rank AS INTEGER) AS rank,
+      round(median_imp, 6) AS median_imp, round(norm_hits, 6) AS norm_hits
+    FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY list_no, rank) AS rn FROM ranked WHERE rank <= 4)
+    WHERE rn = 1""",
+)
+def chunked_ranking(spark, folder):
+    """Column chunks with their own shadows, two targets, statistics per chunk, and the best four fields
+    of each target combined: chunked selection with an importance that SQL can follow."""
+    history = _history(spark, folder, _RESPONSES)
+    fields = spark.createDataFrame(list(enumerate(FIELDS)), "ordinal int, field string")
+    chunks = ranking.numbered_chunks(fields, ["ordinal"], _CHUNK).select("field", "chunk")
+    within = ["target", "chunk"]
+    stats = imp.statistics(imp.hits(history.join(chunks, "field"), within), len(RUNS), within)
+    best = imp.first_listed(stats, _RESPONSES, 4)
+    rounded = [F.round(n, 6).alias(n) for n in ("median_imp", "norm_hits")]
+    return best.select("field", "target", "chunk", F.col("list_no").cast("int").alias("list_no"), "rank", *rounded)
+
+
 _LISTED = TARGETS[:3]
 
 

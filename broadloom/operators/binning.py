@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from broadloom.operators.selectors import col
+from broadloom.operators.selectors import col, quoted_name
 
 RULE_LIMIT = 10_000
 KEEP = object()
@@ -49,7 +49,7 @@ class BinRule:
 def bin_fields(df: DataFrame, rules: Iterable[BinRule]) -> DataFrame:
     """Bin every ruled field in place."""
     by_field = {r.field: r for r in rules}
-    return df.select(*[by_field[n].column() if n in by_field else col(n) for n in df.columns])
+    return df.select(*[by_field[n].column() if n in by_field else quoted_name(n) for n in df.columns])
 
 
 def bin_by_table(df: DataFrame, table: DataFrame, settings: Iterable[BinRule]) -> DataFrame:

@@ -10,13 +10,13 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from broadloom.functions import cells
-from broadloom.operators.selectors import Selector, all_of, col, everything, numeric, text
+from broadloom.operators.selectors import Selector, all_of, col, everything, numeric, quoted_name, quoted_text, text
 
 
 def across(df: DataFrame, which: Selector, fn: Callable[[Column], Column]) -> DataFrame:
     """Apply one column function to every chosen column, keeping names and order."""
     chosen = set(which.names(df))
-    return df.select(*[fn(col(n)).alias(n) if n in chosen else col(n) for n in df.columns])
+    return df.select(*[fn(col(n)).alias(n) if n in chosen else quoted_name(n) for n in df.columns])
 
 
 def fill_missing(df: DataFrame, number: float | None = cells.MISSING_NUMBER, word: str | None = cells.MISSING_TEXT):
@@ -24,17 +24,14 @@ def fill_missing(df: DataFrame, number: float | None = cells.MISSING_NUMBER, wor
     numbers = set(numeric().names(df)) if number is not None else set()
     words = set(text().names(df)) if word is not None else set()
 
-    def filled(field):
-        c = col(field.name)
+    def filled(field) -> str:
+        c, kind = quoted_name(field.name), field.dataType.simpleString()
         if field.name in numbers:
-            if field.dataType.typeName() in ("double", "float"):
-                c = F.nanvl(c, F.lit(None).cast(field.dataType))
-            return F.coalesce(c, F.lit(number).cast(field.dataType)).alias(field.name)
-        if field.name in words:
-            return F.coalesce(c, F.lit(word)).alias(field.name)
-        return c
-
-    return df.select(*[filled(f) for f in df.schema])
+            known = f"nanvl({c}, CAST(NULL AS {kind}))" if kind in ("double", "float") else c
+            return f"coalesce({known}, CAST({number} AS {kind})) AS {c}"
+        return f"coalesce({c}, {quoted_text(word)}) AS {c}" if field.name in words else c
+
+    return df.selectExpr(*[filled(f) for f in df.schema])
 
 
 def clean_text(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from broadloom.operators.selectors import col, quoted_name
+from broadloom.operators.selectors import col, quoted_name, quoted_text
 
 EXPRESSION_PAIRS = 12
 TASKS_PER_CORE = 4
@@ -60,9 +60,7 @@ def correlation_pairs(
 
 
 def _name_at(names: Sequence[str], ordinal: str) -> Column:
-    # one expression text: hundreds of separate literals would take the driver seconds to build
-    texts = ("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
-    return F.expr(f"element_at(array({', '.join(texts)}), {ordinal} + 1)")
+    return F.expr(f"element_at(array({', '.join(quoted_text(n) for n in names)}), {ordinal} + 1)")
 
 
 def _r() -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from broadloom.functions import cells
-from broadloom.operators.selectors import Selector, col, minus_names, text
+from broadloom.operators.selectors import Selector, col, minus_names, quoted_name, quoted_text, text
 
 LEVEL_LIMIT = 20_000
 
@@ -59,11 +59,14 @@ def narrow_levels(df: DataFrame, fields: Iterable[str], most: int) -> dict[str,
     return {f: v for f, v in found.items() if len(v) <= most}
 
 
-def _level_test(field: str, values: list[str | None]) -> Column:
-    c = col(field).cast("string")
-    named = [v for v in values if v is not None]
-    test = F.coalesce(c.isin(named), F.lit(False)) if named else F.lit(False)
-    return test | c.isNull() if None in values else test
+def _level_flag(field: str, values: Iterable[str | None]) -> str:
+    """SQL for 1 where the field has one of the levels (a missing value may be one), else 0."""
+    c = f"CAST({quoted_name(field)} AS STRING)"
+    values = list(values)
+    named = [quoted_text(v) for v in values if v is not None]
+    tests = [f"{c} IN ({', '.join(named)})"] if named else []
+    tests += [f"{c} IS NULL"] if None in values else []
+    return f"CASE WHEN {' OR '.join(tests)} THEN 1 ELSE 0 END"
 
 
 def level_columns(field: str, levels: Iterable[str | None], clean: bool = True) -> dict[str, Column]:
@@ -73,7 +76,7 @@ def level_columns(field: str, levels: Iterable[str | None], clean: bool = True)
     for v in levels:
         name = f"{field}_{'NA' if v is None else v}"
         members.setdefault(name.replace(" ", "_").upper() if clean else name, []).append(v)
-    return {n: F.when(_level_test(field, members[n]), 1).otherwise(0) for n in sorted(members)}
+    return {n: F.expr(_level_flag(field, members[n])) for n in sorted(members)}
 
 
 def one_hot(
@@ -90,7 +93,7 @@ def one_hot(
         if clash:
             raise ValueError(f"one-hot names collide: {clash}")
         made.update(new)
-    return df.select(*[col(n) for n in rest], *[c.alias(n) for n, c in made.items()])
+    return df.select(*[quoted_name(n) for n in rest], *[c.alias(n) for n, c in made.items()])
 
 
 def dummify(df: DataFrame, most: int, which: Selector | None = None) -> DataFrame:
@@ -101,7 +104,7 @@ def dummify(df: DataFrame, most: int, which: Selector | None = None) -> DataFram
 
 def flag_columns(label: str, levels: Iterable[str | None]) -> dict[str, Column]:
     """0/1 columns ``TARGET_<class>`` in name order; a missing class is called NA."""
-    flags = {f"TARGET_{'NA' if v is None else v}": F.when(_level_test(label, [v]), 1).otherwise(0) for v in levels}
+    flags = {f"TARGET_{'NA' if v is None else v}": F.expr(_level_flag(label, [v])) for v in levels}
     return {n: flags[n] for n in sorted(flags)}
 
 

@@ -35,6 +35,12 @@ def quoted_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def quoted_text(value: str) -> str:
+    """A text literal for SQL expressions. Projections over hundreds of columns are given to Spark as SQL
+    text: building them as column objects would keep the driver busy for seconds."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col(quoted_name(name))

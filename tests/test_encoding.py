@@ -107,3 +107,10 @@ def test_preset_channel_type(spark):
     df = spark.createDataFrame([(None,), ("Email",), ("Virtual",), ("new",)], "CHANNEL_TYPE string").coalesce(1)
     got = [r[0] for r in binning.bin_fields(df, [presets.CHANNEL_TYPE]).collect()]
     assert got == ["EPEOS", "EMAIL", "VR LP HYB", "F2F OTH"]
+
+
+def test_levels_with_quotes_and_dots(spark):
+    df = spark.createDataFrame([("it's",), ("a\\b",), ("x.y",), (None,)], "`f.g` string").coalesce(1)
+    out = encoding.one_hot(df, ["f.g"], clean=False)
+    assert out.columns == sorted(["f.g_a\\b", "f.g_it's", "f.g_x.y", "f.g_NA"])
+    assert all(sum(r) == 1 for r in out.collect())

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from broadloom.functions import cells
 from broadloom.operators.selectors import Selector, all_of, col, everything, numeric, quoted_name, quoted_text, text

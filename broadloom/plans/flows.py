@@ -12,7 +12,7 @@ from broadloom.operators import binning, cleaning, correlation, encoding, joins,
 from broadloom.operators.forests import Forest, chunked_relevance
 from broadloom.operators.importance import first_listed
 from broadloom.operators.selectors import (
-    Selector, all_of, any_of, col, column_values, contains, ends_with, everything, field_catalog,
+    Selector, all_of, any_of, col, column_values, contains, ends_with, field_catalog,
     minus_names, numeric, pick, starts_with, text, without,
 )
 from broadloom.plans import presets

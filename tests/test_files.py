@@ -53,7 +53,9 @@ def test_stage_cuts_lineage_and_keeps_the_schema(spark):
     assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, df.collect()))
     plan = staged._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and shared_folder(spark) in plan.replace("file:", "")
-    assert spread(staged).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    big = stage(spark.range(1000), "ids")
+    assert spread(big).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spread(big).count() == 1000
 
 
 def test_master_table_flow(spark):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
+#: Bytes of an Arrow batch that a Python function gets at once.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,12 +30,17 @@ def utf8(column: Column) -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch; ``None`` stands for no rows."""
+    """``mapInArrow`` for a function of one batch; ``None`` stands for no rows.
+
+    Batches are handed over in slices of about ``SLICE_BYTES``, which bounds the Python objects alive at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                if (out := fn(batch.slice(at, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe
+from broadloom.llm import byte_bpe, decontamination
 from broadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,4 +19,10 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.coded_documents(spark, table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+TWINS["op9_decontamination"] = decontamination.SQL
+QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op1_byte_bpe"] = op1_byte_bpe

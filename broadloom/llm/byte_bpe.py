@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from broadloom.llm.common import map_batches
 
-#: Pieces a worker remembers; when full, it starts anew. Bounds memory only, results do not depend on it.
-REMEMBERED_PIECES = 1 << 20
+#: Pieces a worker remembers in each of two generations, and pairs of tokens whose validity it remembers. These
+#: bound memory only; results do not depend on them.
+REMEMBERED_PIECES = 1 << 17
+REMEMBERED_PAIRS = 1 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -54,6 +56,7 @@ class PrefixEncoder:
                 node = node[0][byte]
             node[1] = ((ranks[token], len(token)), *node[1])
         self._valid: list[dict[int, bool]] = [{} for _ in range(max(self.token_bytes) + 2)]
+        self._pairs = 0
 
     def merge(self, data: bytes) -> list[int]:
         """The merge rules applied to a few bytes: lowest rank first, leftmost among equals."""
@@ -82,6 +85,11 @@ class PrefixEncoder:
                 known = self.merge(self.token_bytes[token]) == [token]
             else:
                 known = self.merge(self.token_bytes[before] + self.token_bytes[token]) == [before, token]
+            self._pairs += 1
+            if self._pairs > REMEMBERED_PAIRS:
+                self._pairs = 0
+                for pairs in self._valid:
+                    pairs.clear()
             self._valid[before][token] = known
         return known
 
@@ -131,35 +139,53 @@ class PrefixEncoder:
         return changed, out + last[at - shift :], computed
 
 
+def rank_table(rank_file: bytes) -> dict[bytes, int]:
+    lines = (line.split() for line in rank_file.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in lines}
+
+
+class Remembered(dict):
+    """Ids of pieces; frequent pieces survive because those met again move from the old generation to the young."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            out = np.array(self.encode(piece.encode()), "<u4").tobytes()
+        if len(piece) < 64:
+            if len(self) >= REMEMBERED_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class TextEncoder:
     """Splits text by a pattern and encodes each match separately."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        lines = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.pieces = PrefixEncoder({base64.b64decode(token): int(rank) for token, rank in lines})
+        self.pieces = PrefixEncoder(rank_table(rank_file))
         self.pattern = regex.compile(pattern)
-        self.most = max(self.pieces.token_bytes)
-        encode = self.pieces.encode
-
-        class Remembered(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= REMEMBERED_PIECES:
-                    self.clear()
-                out = np.array(encode(piece.encode()), "<u4").tobytes()
-                if len(piece) < 64:
-                    self[piece] = out
-                return out
-
-        self.remembered = Remembered()
+        self.remembered = Remembered(self.pieces.encode)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.remembered.__getitem__, self.pattern.findall(text)))
 
+
+class Decoder:
+    """Ids back to bytes."""
+
+    def __init__(self, rank_file: bytes):
+        self.token_bytes = {rank: token for token, rank in rank_table(rank_file).items()}
+
     def decode(self, ids: bytes) -> bytes | None:
         """The bytes of the ids; ``None`` where an id is not in the vocabulary."""
         try:
-            return b"".join(map(self.pieces.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+            return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         except KeyError:
             return None
 
@@ -211,6 +237,11 @@ def text_encoder(rank_file: bytes, pattern: str) -> TextEncoder:
     return TextEncoder(rank_file, pattern)
 
 
+@lru_cache(maxsize=4)
+def decoder(rank_file: bytes) -> Decoder:
+    return Decoder(rank_file)
+
+
 def _per_row(column: pa.Array, fn) -> list:
     return [None if v is None else fn(v) for v in column.to_pylist()]
 
@@ -233,14 +264,13 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_i
     return map_batches(df.select(key, text), encode, f"`{key}` {kind}, ids binary, n_tokens bigint")
 
 
-def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded binary`` to all columns of ``df``; null where ``ids`` is null or holds an unknown id."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     at = df.columns.index(ids)
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = text_encoder(ranks.value, pattern)
-        out = pa.array(_per_row(batch.column(at), encoder.decode), pa.binary())
+        out = pa.array(_per_row(batch.column(at), decoder(ranks.value).decode), pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
@@ -250,7 +280,7 @@ def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -
 def coded_documents(spark: SparkSession, documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode, digest, decode and digest again: the columns of query ``op1_byte_bpe``."""
     encoded = encode_texts(documents, ranks_path, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
-    decoded = decode_ids(encoded, ranks_path, pattern)
+    decoded = decode_ids(encoded, ranks_path)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe, decontamination
+from broadloom.llm import byte_bpe, decontamination, token_files
 from broadloom.llm.common import table
+from broadloom.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -23,6 +24,13 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.document_checksums(spark, path)
+
+
+QUERIES["op5_token_files"] = op5_token_files
 TWINS["op9_decontamination"] = decontamination.SQL
 QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op1_byte_bpe"] = op1_byte_bpe

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe, decontamination, token_files
+from broadloom.llm import byte_bpe, decontamination, sharding, token_files
 from broadloom.llm.common import table
 from broadloom.session import shared_path
 
@@ -31,6 +31,11 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_token_files"] = op5_token_files
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(table(spark, folder, "documents"), sharding.TREE, grown=sharding.GROWN)
+
+
+QUERIES["op8_sharding"], TWINS["op8_sharding"] = op8_sharding, sharding.SQL
 TWINS["op9_decontamination"] = decontamination.SQL
 QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op1_byte_bpe"] = op1_byte_bpe

@@ -53,3 +53,20 @@ def ascii_lower(column: Column) -> Column:
 def text_chars(df: DataFrame, text: str = "text") -> int:
     """Characters of a text column: the size from which numbers of groups are planned (one column scan)."""
     return df.select(F.sum(F.length(text)).alias("n")).first()["n"] or 0
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def kinds_of(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

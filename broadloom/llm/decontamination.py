@@ -9,8 +9,8 @@ The hash set is bounded: a benchmark of more than ``BLOCK_CHARS`` characters is
 over the documents for each, and the passes add up their spans. Documents are never exchanged.
 
 Null and empty texts have no words, hence no hits. A null item id counts as the item ``''``; repeated items count
-once. Extra columns of ``documents`` pass through the operators that keep documents; no name of theirs may clash,
-since working columns are held in one struct column whose name is chosen free of clashes.
+once. Extra columns of ``documents`` pass through the operators that keep documents; the one working column gets a name
+that none of them has.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.common import map_batches
+from broadloom.llm.common import columns_of, free_name, kinds_of, map_batches
 
 WINDOW_WORDS = 13
 #: Normalised characters of the benchmark in one broadcast, and words in one chunk of a long item.
@@ -144,7 +144,7 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", it
         raise ValueError(f"documents have a column {name} already; choose another name")
     spark, names = documents.sparkSession, documents.columns
     out = documents.withColumn(name, F.lit(None).cast(SPAN_TYPE))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    kinds = kinds_of(out)
     at = names.index(text)
     for block in _blocks(benchmark, item, item_text) or [()]:
         sent = spark.sparkContext.broadcast(block)
@@ -171,20 +171,16 @@ def contaminated(name: str = "hits"):
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents without the contaminated ones, with the columns they had."""
-    name = "_hits"
-    while name in documents.columns:
-        name += "_"
+    name = free_name(documents, "_hits")
     found = with_hits(documents, benchmark, text=text, name=name)
-    return found.where(~contaminated(name)).select(*(F.col(f"`{c}`") for c in documents.columns))
+    return found.where(~contaminated(name)).select(*columns_of(documents))
 
 
 def cut_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """All documents with the hit spans, first to last word of each, cut out of their texts."""
-    name = "_hits"
-    while name in documents.columns:
-        name += "_"
+    name = free_name(documents, "_hits")
     at = documents.columns.index(text)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    kinds = kinds_of(documents)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

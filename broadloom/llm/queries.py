@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe, decontamination, sharding, token_files
+from broadloom.llm import byte_bpe, decontamination, quality, sharding, token_files
 from broadloom.llm.common import table
 from broadloom.session import shared_path
 
@@ -36,6 +36,11 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op8_sharding"], TWINS["op8_sharding"] = op8_sharding, sharding.SQL
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES["op7_quality"], TWINS["op7_quality"] = op7_quality, quality.SQL
 TWINS["op9_decontamination"] = decontamination.SQL
 QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op1_byte_bpe"] = op1_byte_bpe

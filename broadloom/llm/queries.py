@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe, decontamination, quality, sharding, token_files
+from broadloom.llm import byte_bpe, decontamination, quality, sharding, token_files, warc
 from broadloom.llm.common import table
 from broadloom.session import shared_path
 
@@ -24,6 +24,13 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_pages(table(spark, folder, "pages"), shared_path(spark, "warc"))
+
+
+QUERIES["op2_warc"], TWINS["op2_warc"] = op2_warc, warc.SQL
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadloom.llm.common import map_batches
+from broadloom.llm.common import Remembered, map_batches
 
 #: Pieces a worker remembers in each of two generations, and pairs of tokens whose validity it remembers. These
 #: bound memory only; results do not depend on them.
@@ -144,32 +144,16 @@ def rank_table(rank_file: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in lines}
 
 
-class Remembered(dict):
-    """Ids of pieces; frequent pieces survive because those met again move from the old generation to the young."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.old.get(piece)
-        if out is None:
-            out = np.array(self.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) < 64:
-            if len(self) >= REMEMBERED_PIECES:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = out
-        return out
-
-
 class TextEncoder:
     """Splits text by a pattern and encodes each match separately."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.pieces = PrefixEncoder(rank_table(rank_file))
         self.pattern = regex.compile(pattern)
-        self.remembered = Remembered(self.pieces.encode)
+        self.remembered = Remembered(self._ids, REMEMBERED_PIECES)
+
+    def _ids(self, piece: str) -> bytes:
+        return np.array(self.pieces.encode(piece.encode()), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

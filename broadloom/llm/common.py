@@ -70,3 +70,33 @@ def columns_of(df: DataFrame) -> list[Column]:
 def kinds_of(df: DataFrame) -> str:
     """The columns of ``df`` as a schema string."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans, joined where they touch or overlap."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+class Remembered(dict):
+    """Values of short strings in two bounded generations: those met again move from the old one to the young."""
+
+    def __init__(self, value: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.value, self.most, self.old = value, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.value(key)
+        if len(key) < 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out

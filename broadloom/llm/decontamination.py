@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.common import columns_of, free_name, kinds_of, map_batches
+from broadloom.llm.common import columns_of, free_name, kinds_of, map_batches, merged
 
 WINDOW_WORDS = 13
 #: Normalised characters of the benchmark in one broadcast, and words in one chunk of a long item.
@@ -119,16 +119,6 @@ def _window_set(chunks: tuple) -> WindowSet:
     return WindowSet(list(chunks))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
-
-
 def _blocks(benchmark: DataFrame, item: str, text: str) -> list[tuple[tuple[str, bytes], ...]]:
     """The benchmark in blocks of bounded size, each collected on its own."""
     chunks = item_chunks(benchmark, item, text)

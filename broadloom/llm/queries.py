@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe, decontamination, quality, secret_tags, sharding, token_files, warc
+from broadloom.llm import byte_bpe, decontamination, licenses, quality, secret_tags, sharding, token_files, warc
 from broadloom.llm.common import table
 from broadloom.session import shared_path
 
@@ -38,6 +38,13 @@ def op3_secret_tags(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op3_secret_tags"] = op3_secret_tags
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_report(table(spark, folder, "documents"))
+
+
+QUERIES["op4_licenses"], TWINS["op4_licenses"] = op4_licenses, licenses.SQL
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))

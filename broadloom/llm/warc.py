@@ -315,7 +315,7 @@ def archived_pages(pages: DataFrame, path: str) -> DataFrame:
     """
     spark = pages.sparkSession
     register(spark)
-    records_of(pages).write.format("warc").mode("append").save(path)
+    records_of(pages).write.format("warc").option("compression", "gzip").mode("append").save(path)
     got = spark.read.format("warc").schema("record_id string, record_type string, refers_to string, payload_digest string, payload_length bigint, payload binary").load(path)
     response = F.col("record_type") == "response"
     id_in = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")

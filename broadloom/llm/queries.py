@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe, decontamination, licenses, quality, secret_tags, sharding, token_files, warc
+from broadloom.llm import byte_bpe, decontamination, licenses, ngram_join, quality, secret_tags, sharding, token_files, warc
 from broadloom.llm.common import table
 from broadloom.session import shared_path
 
@@ -62,6 +62,11 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op7_quality"], TWINS["op7_quality"] = op7_quality, quality.SQL
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES["op6_ngram_join"], TWINS["op6_ngram_join"] = op6_ngram_join, ngram_join.SQL
 TWINS["op9_decontamination"] = decontamination.SQL
 QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op1_byte_bpe"] = op1_byte_bpe

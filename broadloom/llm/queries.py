@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe, decontamination, licenses, ngram_join, quality, secret_tags, sharding, token_files, warc
+from broadloom.llm import byte_bpe, decontamination, licenses, ngram_join, passages, quality, secret_tags, sharding, token_files, warc
 from broadloom.llm.common import table
 from broadloom.session import shared_path
 
@@ -67,6 +67,11 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op6_ngram_join"], TWINS["op6_ngram_join"] = op6_ngram_join, ngram_join.SQL
+def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+QUERIES["op10_passages"] = op10_passages
 TWINS["op9_decontamination"] = decontamination.SQL
 QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op1_byte_bpe"] = op1_byte_bpe

@@ -19,7 +19,9 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def runs_hashed(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` words."""
-    out = np.zeros(max(len(words) - k + 1, 0), np.uint64)
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(words) - k + 1, np.uint64)
     for j in range(k):
         out *= _MIX
         out += words[j : len(words) - k + 1 + j]

@@ -7,15 +7,19 @@ hashes), the first ``t + m`` tokens of ``x`` hold at least ``m`` that the partne
 * *Extended prefixes.* ``m = 2 + t // 4``: a text with fewer than ``m`` prefix tokens that occur in another prefix has
   no partner and leaves; counts are taken again over those that stay. Common passages in otherwise different texts
   end here.
-* *Combinations.* Tokens of at most ``FREQUENT`` texts are rare. If the first tokens of ``x`` hold ``n1`` others and
-  ``n2`` frequent tokens with ``n1 + n2 - 1 >= t + 1``, a partner shares a rare token or two frequent ones, so
-  rare tokens are indexed alone and frequent ones in pairs.
+* *Combinations.* Tokens of at most ``FREQUENT`` texts are rare and indexed alone. Frequent tokens fall into ``g``
+  classes by their hash and are indexed in pairs of a class: if the first tokens of ``x`` hold ``n1`` others and
+  ``n_i`` of class ``i`` with ``n1 + sum(max(0, n_i - 1)) >= t + 1``, a partner shares a rare token or two of a class.
+  ``g = 1 + t // 4`` keeps that true of the extended prefix and the pairs in proportion to the prefix. Partners must
+  use the same ``g``, so it comes from a band of sizes; sizes of a link lie in one band or two adjacent ones, and
+  every text is indexed under its own band and the one below.
 * *Verification* compares the whole sets.
 
-Equal sets are one class from the start. A first round verifies each class only against the smallest class of each
-of its tokens and joins what links into components; then only candidates from different components are left, so
-large groups of near copies cost a few comparisons per text and no link between components is lost. Only the
-narrow prefix tokens of all texts are exchanged, packed by hash ranges; whole texts once, for those that stayed.
+Equal sets are one class from the start. A first round verifies each class against one other, that which comes first
+in most of its tokens, and joins what links into components. Tokens within one component are then closed, texts with
+fewer than ``m`` open tokens leave again, and only candidates from different components are verified, so large groups
+of near copies cost a few comparisons per text and no link between components is lost. Only the narrow prefix tokens
+of all texts are exchanged, packed by hash ranges; whole texts once, for those that stayed.
 
 A null key has no component (null). Null and empty texts have no shingles and link with nothing. Rows with equal
 keys are one node: they share a component. Extra columns are left out by :func:`near_duplicates` and pass through
@@ -25,10 +29,12 @@ keys are one node: they share a component. Extra columns are left out by :func:`
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from broadloom.llm.common import SIMILARITY_PERCENT, columns_of, free_name, map_batches
@@ -40,7 +46,7 @@ from broadloom.session import stage
 FREQUENT = 64
 #: Prefix tokens that a group of the counting exchange is planned to hold.
 GROUP_TOKENS = 1_000_000
-#: Rounds of leaving; more rounds only save later work.
+#: Rounds of leaving over open tokens; more rounds only save later work.
 LEAVING_ROUNDS = 2
 
 
@@ -161,16 +167,9 @@ def links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     rows = shared_tokens(sketches, max(1, int(total) // GROUP_TOKENS + 1))
     # the classes' first texts stand for them, so copies do not count as other texts
     heads = classes.where("n > 0 and doc = cls").select("doc", "n").distinct()
-    heads = heads.withColumn("t", F.expr(f"n - ({SIMILARITY_PERCENT} * n + 99) div 100"))
-    kept = stage(rows.select("doc", "token").join(heads, "doc"), "shared-tokens")
-    for _ in range(LEAVING_ROUNDS):
-        counts = kept.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("first"))
-        shared = kept.join(counts.where("df > 1"), "token").select("doc", "n", "t", "token", "df", "first")
-        enough = shared.groupBy("doc", "t", "n").agg(F.count("*").alias("k")).where("k >= least(n, t + 2 + t div 4) - t").select("doc")
-        kept = stage(shared.join(enough, "doc", "left_semi"), "shared-tokens")
-        kept = kept.select("doc", "n", "t", "token")
-    counts = kept.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("first"))
-    index = stage(kept.join(counts.where("df > 1"), "token"), "token-index")
+    index = stage(_stay(rows.select("doc", "token").join(heads, "doc")), "shared-tokens")
+    counts = index.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("first"))
+    index = stage(_stay(index.join(counts.where("df > 1"), "token")), "token-index")
     sizes = index.select("doc", "n").distinct()
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -180,29 +179,43 @@ def links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     texts = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     sets = stage(map_batches(texts.join(sizes.select("doc"), "doc", "left_semi"), sets_of, "doc bigint, tokens binary"), "token-sets")
 
-    stars = index.where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    found = stage(verified(_near_in_size(stars, sizes), sets), "links")
+    per = index.where("doc != first").groupBy("doc", "first").agg(F.count("*").alias("k"))
+    stars = per.groupBy(F.col("doc").alias("b")).agg(F.max(F.struct("k", (-F.col("first")).alias("back"))).alias("best"))
+    found = stage(verified(_near_in_size(stars.select((-F.col("best.back")).alias("a"), "b"), sizes), sets), "links")
     labels = components(found)
-    more = stage(verified(_near_in_size(cross_pairs(index, labels), sizes), sets), "links")
+    more = stage(verified(cross_pairs(index, labels), sets), "links")
     if not more.isEmpty():
         labels = components(found.union(more))
     return classes, labels
 
 
+def _stay(index: DataFrame) -> DataFrame:
+    """The rows of texts with enough tokens: a partner has ``least(n, t + 2 + t div 4) - t`` of them."""
+    t = f"(n - ({SIMILARITY_PERCENT} * n + 99) div 100)"
+    counted = index.withColumn("k", F.count("*").over(W.partitionBy("doc")))
+    return counted.where(f"k >= least(n, {t} + 2 + {t} div 4) - {t}").drop("k")
+
+
 def cross_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
     """Candidate pairs of texts that are in different components so far and share a rare token or two frequent ones."""
-    at = index.join(labels, index["doc"] == labels["node"], "left").select("doc", "token", "df", F.coalesce("component", "doc").alias("c"))
-    at = stage(at, "labelled-index")
-    open_tokens = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    left = stage(at.join(open_tokens, "token"), "open-tokens")
-    rare = left.where(F.col("df") <= FREQUENT).select(F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "doc", "c")
-    often = left.where(F.col("df") > FREQUENT).select("doc", "c", "token")
-    two = often.join(often.select("doc", F.col("token").alias("other")), "doc").where("token < other")
-    two = two.select(F.col("token").alias("k1"), F.col("other").alias("k2"), "doc", "c")
-    open_pairs = two.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k1", "k2")
-    signed = rare.union(two.join(open_pairs, ["k1", "k2"]))
-    other = signed.select("k1", "k2", F.col("doc").alias("b"), F.col("c").alias("cb"))
-    return signed.join(other, ["k1", "k2"]).where("doc < b and c != cb").select(F.col("doc").alias("a"), "b").distinct()
+    at = index.join(labels, index["doc"] == labels["node"], "left").select("doc", "n", "token", "df", F.coalesce("component", "doc").alias("c"))
+    for _ in range(LEAVING_ROUNDS):
+        at = stage(at, "labelled-index")
+        spread = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+        at = _stay(at.join(spread, "token"))
+    at = stage(at, "open-index")
+    rare = at.where(F.col("df") <= FREQUENT).select(F.lit(-1).alias("band"), F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "doc", "n", "c")
+    band = F.floor(F.ln("n") / math.log(100 / SIMILARITY_PERCENT)).cast("int")
+    often = at.where(F.col("df") > FREQUENT).select("doc", "n", "c", "token", F.explode(F.array(band, band - 1)).alias("band"))
+    often = often.withColumn("least_n", F.floor(F.pow(F.lit(100 / SIMILARITY_PERCENT), F.col("band"))).cast("bigint"))
+    often = often.withColumn("g", F.expr(f"pmod(token, 1 + (least_n - ({SIMILARITY_PERCENT} * least_n + 99) div 100) div 4)"))
+    two = often.join(often.select("doc", "band", "g", F.col("token").alias("other")), ["doc", "band", "g"]).where("token < other")
+    two = two.select("band", F.col("token").alias("k1"), F.col("other").alias("k2"), "doc", "n", "c")
+    spread = two.groupBy("band", "k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "k1", "k2")
+    signed = rare.union(two.join(spread, ["band", "k1", "k2"]))
+    other = signed.select("band", "k1", "k2", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    fit = f"doc < b and c != cb and 100 * least(n, nb) >= {SIMILARITY_PERCENT} * greatest(n, nb)"
+    return signed.join(other, ["band", "k1", "k2"]).where(fit).select(F.col("doc").alias("a"), "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,23 +6,22 @@ pair*, that is, two tokens which the merge rules leave apart when their bytes st
 tokens describes the encodings of all prefixes at once; appending bytes only extends the array, and an edit is
 re-encoded from its start until the array agrees with the old one over the length of the longest token.
 
-Nulls and empty texts have no tokens. Repeated rows and ties give repeated results. Extra columns are left out:
-the results carry the key column and columns of their own.
+Nulls and empty texts have no tokens. Repeated rows give repeated results. Extra columns pass through, but for the
+names of the result's own columns, which raise an error.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.common import Remembered, map_batches
+from broadloom.llm.common import Remembered, columns_of, free_name, kinds_of, map_batches, utf8, whole_text
 
 #: Pieces a worker remembers in each of two generations, and pairs of tokens whose validity it remembers. These
 #: bound memory only; results do not depend on them.
@@ -230,22 +229,24 @@ def _per_row(column: pa.Array, fn) -> list:
     return [None if v is None else fn(v) for v in column.to_pylist()]
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, ids binary (little-endian unsigned 32-bit), n_tokens`` per row; a null text encodes as empty.
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The columns of ``df`` but the text, with ``ids binary`` (little-endian unsigned 32-bit) and ``n_tokens``.
 
-    The rank file (a fixed vocabulary) is read once by the driver and sent to the executors; texts stay where
-    they are: no exchange.
+    A null text encodes as empty. The rank file (a fixed vocabulary) is read once by the driver and sent to the
+    executors; texts stay where they are: no exchange. Columns named ``ids`` or ``n_tokens`` must not be there.
     """
+    if clash := {"ids", "n_tokens", "decoded", "round_trip"} & set(df.columns):
+        raise ValueError(f"rename these columns first: {sorted(clash)}")
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    rest = df.drop(text)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = text_encoder(ranks.value, pattern)
-        ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
+        ids = [encoder.encode(t or "") for t in batch.columns[-1].to_pylist()]
         counts = pa.array([len(i) // 4 for i in ids], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), counts], [key, "ids", "n_tokens"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), counts], [*batch.schema.names[:-1], "ids", "n_tokens"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(key, text), encode, f"`{key}` {kind}, ids binary, n_tokens bigint")
+    return map_batches(df.select(*columns_of(rest), F.col(text)), encode, f"{kinds_of(rest)}, ids binary, n_tokens bigint")
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -257,16 +258,19 @@ def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
         out = pa.array(_per_row(batch.column(at), decoder(ranks.value).decode), pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return map_batches(df, decode, ", ".join([*fields, "decoded binary"]))
+    return map_batches(df, decode, f"{kinds_of(df)}, decoded binary")
 
 
-def coded_documents(spark: SparkSession, documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def coded_documents(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode, digest, decode and digest again: the columns of query ``op1_byte_bpe``."""
-    encoded = encode_texts(documents, ranks_path, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
+    encoded = encode_texts(documents.select("doc_id", "text"), ranks_path, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
     decoded = decode_ids(encoded, ranks_path)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def ids_as_bytes(ids: Iterable[int]) -> bytes:
-    return np.array(list(ids), "<u4").tobytes()
+def token_rows(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The columns of ``documents`` but the text, ``ids``, ``n_tokens`` and ``round_trip``: whether the ids decode to it."""
+    known = free_name(documents, "_digest")
+    encoded = encode_texts(documents.withColumn(known, F.sha2(utf8(whole_text(documents, text)), 256)), ranks_path, pattern, text)
+    decoded = decode_ids(encoded, ranks_path)
+    return decoded.withColumn("round_trip", F.sha2("decoded", 256) == F.col(known)).drop("decoded", known)

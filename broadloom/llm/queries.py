@@ -17,7 +17,7 @@ TWINS: dict[str, str] = {}
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.coded_documents(spark, table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.coded_documents(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,7 +67,9 @@ def measures(df: DataFrame, text: str, name: str) -> DataFrame:
         "n_repeat_words": "_r",
         "n_lines": "cast(size(_l) as bigint)",
         "n_capitals": "cast(length(_t) - length(translate(_t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as bigint)",
-        "base_failed": f"_n < {LEAST_WORDS} or 100 * _r > {MOST_REPEATED_PERCENT} * _n",
+        # the last test is never true; it keeps filters above this projection, where pushing them below would
+        # repeat the array expressions inside one another
+        "base_failed": f"_n < {LEAST_WORDS} or 100 * _r > {MOST_REPEATED_PERCENT} * _n or monotonically_increasing_id() < 0",
     }
     return out.select("_row.*", F.expr("struct(" + ", ".join(f"{e} as {n}" for n, e in fields.items()) + ")").alias(name))
 

@@ -5,8 +5,8 @@ leaves at most ``t = |x| - ceil(0.8 |x|)`` tokens of ``x`` unmatched. With all s
 hashes), the first ``t + m`` tokens of ``x`` hold at least ``m`` that the partner has among its own first tokens:
 
 * *Extended prefixes.* ``m = 2 + t // 4``: a text with fewer than ``m`` prefix tokens that occur in another prefix has
-  no partner and leaves; counts are taken again over those that stay. Common passages in otherwise different texts
-  end here.
+  no partner and leaves; counts are taken again over those that stay, then over their whole sets, the longest
+  prefix. Common passages in otherwise different texts end here.
 * *Combinations.* Tokens of at most ``FREQUENT`` texts are rare and indexed alone. Frequent tokens fall into ``g``
   classes by their hash and are indexed in pairs of a class: if the first tokens of ``x`` hold ``n1`` others and
   ``n_i`` of class ``i`` with ``n1 + sum(max(0, n_i - 1)) >= t + 1``, a partner shares a rare token or two of a class.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from broadloom.llm.common import SIMILARITY_PERCENT, columns_of, free_name, map_batches
 from broadloom.llm.components import components
 from broadloom.llm.shingles import shingle_set, word_hashes
-from broadloom.session import stage
+from broadloom.session import releasing_shuffles, stage
 
 #: Texts up to which a token is rare.
 FREQUENT = 64
@@ -72,8 +72,17 @@ def sketched(documents: DataFrame, key: str, text: str) -> DataFrame:
     return map_batches(documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")), sketch, "doc bigint, n bigint, print binary, prefix binary")
 
 
-def shared_tokens(sketches: DataFrame, groups: int) -> DataFrame:
-    """``doc, token, df, first``: the prefix tokens that more than one text has, with the smallest such text.
+def repeated_texts(sets: DataFrame) -> DataFrame:
+    """``doc`` of the whole sets of which all but the allowed misses are in other sets too: the longest prefix."""
+    whole = sets.select("doc", (F.length("tokens") / 8).cast("bigint").alias("n"), F.col("tokens").alias("prefix"))
+    total = sets.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
+    repeats = shared_tokens(whole, int(total) // GROUP_TOKENS + 1, counts_only=True).groupBy("doc").agg(F.sum("k").alias("k"))
+    return whole.select("doc", "n").join(repeats, "doc").where(f"100 * k >= {SIMILARITY_PERCENT} * n").select("doc").distinct()
+
+
+def shared_tokens(sketches: DataFrame, groups: int, counts_only: bool = False) -> DataFrame:
+    """``doc, token, df, first``: the prefix tokens that more than one text has, with the smallest such text; or
+    ``doc, k``: how many of them a text has in a group.
 
     Tokens travel packed, by ranges of their hash. A batch with more than ``FREQUENT`` texts of a token sends the
     first of them with the count; the others are answered there and then with that text as their first.
@@ -127,7 +136,13 @@ def shared_tokens(sketches: DataFrame, groups: int) -> DataFrame:
         ]
         return pa.table(columns, ["doc", "token", "df", "first"])
 
+    def tally(table: pa.Table) -> pa.Table:
+        doc, k = np.unique(np.array(count(table).column("doc")), return_counts=True)
+        return pa.table([doc.astype(np.int64), k.astype(np.int64)], ["doc", "k"])
+
     packed = map_batches(sketches.where("doc is not null and n > 0").select("doc", "prefix"), pack, "part int, token binary, doc binary, weight binary, first binary")
+    if counts_only:
+        return packed.groupBy("part").applyInArrow(tally, "doc bigint, k bigint")
     return packed.groupBy("part").applyInArrow(count, "doc bigint, token bigint, df bigint, first bigint")
 
 
@@ -158,6 +173,11 @@ def links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
 
     ``cls`` is the smallest key of the rows with the same set, the key itself for rows without shingles.
     """
+    with releasing_shuffles(documents.sparkSession):
+        return _links(documents, key, text)
+
+
+def _links(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     sketches = stage(sketched(documents, key, text), "sketches")
     firsts = sketches.where("n > 0").groupBy("print").agg(F.min("doc").alias("cls"))
     classes = stage(
@@ -179,6 +199,13 @@ def links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     texts = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     sets = stage(map_batches(texts.join(sizes.select("doc"), "doc", "left_semi"), sets_of, "doc bigint, tokens binary"), "token-sets")
 
+    enough = stage(repeated_texts(sets), "repeated-texts")
+    index = index.drop("df", "first").join(enough, "doc", "left_semi")
+    counts = index.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("first"))
+    index = stage(_stay(index.join(counts.where("df > 1"), "token")), "token-index")
+    sizes = index.select("doc", "n").distinct()
+    sets = stage(sets.join(sizes.select("doc"), "doc", "left_semi"), "token-sets")
+
     per = index.where("doc != first").groupBy("doc", "first").agg(F.count("*").alias("k"))
     stars = per.groupBy(F.col("doc").alias("b")).agg(F.max(F.struct("k", (-F.col("first")).alias("back"))).alias("best"))
     found = stage(verified(_near_in_size(stars.select((-F.col("best.back")).alias("a"), "b"), sizes), sets), "links")
@@ -203,19 +230,25 @@ def cross_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
         at = stage(at, "labelled-index")
         spread = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
         at = _stay(at.join(spread, "token"))
-    at = stage(at, "open-index")
-    rare = at.where(F.col("df") <= FREQUENT).select(F.lit(-1).alias("band"), F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "doc", "n", "c")
+    often_of = F.count_if(F.col("df") > FREQUENT).over(W.partitionBy("doc"))
+    at = stage(at.withColumn("f", often_of), "open-index")
+    rare = at.where(F.col("df") <= FREQUENT).select(F.lit(-1).alias("band"), F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "doc", "n", "f", "c")
     band = F.floor(F.ln("n") / math.log(100 / SIMILARITY_PERCENT)).cast("int")
-    often = at.where(F.col("df") > FREQUENT).select("doc", "n", "c", "token", F.explode(F.array(band, band - 1)).alias("band"))
+    often = at.where(F.col("df") > FREQUENT).select("doc", "n", "f", "c", "token", F.explode(F.array(band, band - 1)).alias("band"))
     often = often.withColumn("least_n", F.floor(F.pow(F.lit(100 / SIMILARITY_PERCENT), F.col("band"))).cast("bigint"))
     often = often.withColumn("g", F.expr(f"pmod(token, 1 + (least_n - ({SIMILARITY_PERCENT} * least_n + 99) div 100) div 4)"))
     two = often.join(often.select("doc", "band", "g", F.col("token").alias("other")), ["doc", "band", "g"]).where("token < other")
-    two = two.select("band", F.col("token").alias("k1"), F.col("other").alias("k2"), "doc", "n", "c")
+    two = two.select("band", F.col("token").alias("k1"), F.col("other").alias("k2"), "doc", "n", "f", "c")
     spread = two.groupBy("band", "k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "k1", "k2")
     signed = rare.union(two.join(spread, ["band", "k1", "k2"]))
-    other = signed.select("band", "k1", "k2", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    other = signed.select("band", "k1", "k2", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("c").alias("cb"))
     fit = f"doc < b and c != cb and 100 * least(n, nb) >= {SIMILARITY_PERCENT} * greatest(n, nb)"
-    return signed.join(other, ["band", "k1", "k2"]).where(fit).select(F.col("doc").alias("a"), "b").distinct()
+    per = signed.join(other, ["band", "k1", "k2"]).where(fit).groupBy(F.col("doc").alias("a"), "b").agg(
+        F.count_if(F.col("band") < 0).alias("k"), F.min(F.least("f", "fb")).alias("f"), F.min(F.least("n", "nb")).alias("m")
+    )
+    # the prefix that ends first has this many tokens of the partner, rare ones counted, frequent ones at most all
+    t = f"(m - ({SIMILARITY_PERCENT} * m + 99) div 100)"
+    return per.where(f"k + f >= least(m, {t} + 2 + {t} div 4) - {t}").select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,8 +15,8 @@ hashes), the first ``t + m`` tokens of ``x`` hold at least ``m`` that the partne
   every text is indexed under its own band and the one below.
 * *Verification* compares the whole sets.
 
-Equal sets are one class from the start. A first round verifies each class against one other, that which comes first
-in most of its tokens, and joins what links into components. Tokens within one component are then closed, texts with
+Equal sets are one class from the start. A few rounds verify each class against one other outside its component,
+that which comes first in most of its tokens, and join what links into components. Tokens within one component are then closed, texts with
 fewer than ``m`` open tokens leave again, and only candidates from different components are verified, so large groups
 of near copies cost a few comparisons per text and no link between components is lost. Only the narrow prefix tokens
 of all texts are exchanged, packed by hash ranges; whole texts once, for those that stayed.
@@ -48,6 +48,8 @@ FREQUENT = 64
 GROUP_TOKENS = 1_000_000
 #: Rounds of leaving over open tokens; more rounds only save later work.
 LEAVING_ROUNDS = 2
+#: Rounds against one other text each, before all pairs between components; more rounds only save later work.
+HUB_ROUNDS = 5
 
 
 def allowed_misses(n: np.ndarray | int) -> np.ndarray | int:
@@ -73,16 +75,17 @@ def sketched(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeated_texts(sets: DataFrame) -> DataFrame:
-    """``doc`` of the whole sets of which all but the allowed misses are in other sets too: the longest prefix."""
+    """``doc, r`` of the whole sets of which all but the allowed misses, ``r`` tokens, are in other sets too."""
     whole = sets.select("doc", (F.length("tokens") / 8).cast("bigint").alias("n"), F.col("tokens").alias("prefix"))
     total = sets.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
-    repeats = shared_tokens(whole, int(total) // GROUP_TOKENS + 1, counts_only=True).groupBy("doc").agg(F.sum("k").alias("k"))
-    return whole.select("doc", "n").join(repeats, "doc").where(f"100 * k >= {SIMILARITY_PERCENT} * n").select("doc").distinct()
+    repeats = shared_tokens(whole, int(total) // GROUP_TOKENS + 1, counts_only=True)
+    enough = whole.select("doc", "n").join(repeats, "doc").where(f"100 * r >= {SIMILARITY_PERCENT} * n")
+    return enough.groupBy("doc").agg(F.max("r").alias("r"))
 
 
 def shared_tokens(sketches: DataFrame, groups: int, counts_only: bool = False) -> DataFrame:
     """``doc, token, df, first``: the prefix tokens that more than one text has, with the smallest such text; or
-    ``doc, k``: how many of them a text has in a group.
+    ``doc, r``: how many of them a text has.
 
     Tokens travel packed, by ranges of their hash. A batch with more than ``FREQUENT`` texts of a token sends the
     first of them with the count; the others are answered there and then with that text as their first.
@@ -137,12 +140,22 @@ def shared_tokens(sketches: DataFrame, groups: int, counts_only: bool = False) -
         return pa.table(columns, ["doc", "token", "df", "first"])
 
     def tally(table: pa.Table) -> pa.Table:
-        doc, k = np.unique(np.array(count(table).column("doc")), return_counts=True)
-        return pa.table([doc.astype(np.int64), k.astype(np.int64)], ["doc", "k"])
+        doc, k = np.unique(np.array(count(table).column("doc"), dtype=np.int64), return_counts=True)
+        part = doc % groups
+        order = np.argsort(part, kind="stable")
+        doc, k, cuts = doc[order], k[order].astype(np.int64), np.searchsorted(part[order], np.arange(groups + 1))
+        rows = [(g, doc[x:y].tobytes(), k[x:y].tobytes()) for g, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+        return pa.table([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(3)], ["part", "doc", "k"])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        doc, k = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("doc", "k"))
+        docs, at = np.unique(doc, return_inverse=True)
+        return pa.table([docs, np.bincount(at, k, len(docs)).astype(np.int64)], ["doc", "r"])
 
     packed = map_batches(sketches.where("doc is not null and n > 0").select("doc", "prefix"), pack, "part int, token binary, doc binary, weight binary, first binary")
     if counts_only:
-        return packed.groupBy("part").applyInArrow(tally, "doc bigint, k bigint")
+        tallies = packed.groupBy("part").applyInArrow(tally, "part int, doc binary, k binary")
+        return tallies.groupBy("part").applyInArrow(add_up, "doc bigint, r bigint")
     return packed.groupBy("part").applyInArrow(count, "doc bigint, token bigint, df bigint, first bigint")
 
 
@@ -161,11 +174,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a bigint, b bigint")
 
 
-def _near_in_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    one, two = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
-    fit = f"100 * least(na, nb) >= {SIMILARITY_PERCENT} * greatest(na, nb)"
-    return pairs.join(one, "a").join(two, "b").where(fit).select("a", "b")
+#: What sizes and repeated tokens (``n, r`` and ``nb, rb``) allow: the common tokens are at most the smaller ``r``.
+_ALLOWED = f"{100 + SIMILARITY_PERCENT} * least(r, rb) >= {SIMILARITY_PERCENT} * (n + nb)"
+
+
+def hub_pairs(index: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """One candidate per text: of the texts in other components that come first in its tokens, in an order of the
+    turn, the one that does so most often."""
+    at = index.join(labels, index["doc"] == labels["node"], "left")
+    at = at.select("doc", "n", "r", "token", F.coalesce("component", "doc").alias("c"))
+    rank = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("rank"), "doc", "c", F.col("n").alias("nb"), F.col("r").alias("rb"))
+    firsts = at.groupBy("token").agg(F.min(rank).alias("hub"))
+    per = at.join(firsts, "token").select("doc", "n", "r", "c", "hub.nb", "hub.rb", F.col("hub.doc").alias("a"), F.col("hub.c").alias("ca"))
+    per = per.where(f"c != ca and {_ALLOWED}").groupBy("doc", "a").agg(F.count("*").alias("k"))
+    return per.groupBy(F.col("doc").alias("b")).agg(F.max(F.struct("k", "a"))["a"].alias("a")).select("a", "b")
 
 
 def links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -200,16 +222,19 @@ def _links(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     sets = stage(map_batches(texts.join(sizes.select("doc"), "doc", "left_semi"), sets_of, "doc bigint, tokens binary"), "token-sets")
 
     enough = stage(repeated_texts(sets), "repeated-texts")
-    index = index.drop("df", "first").join(enough, "doc", "left_semi")
+    index = index.drop("df", "first").join(enough, "doc")
     counts = index.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("first"))
     index = stage(_stay(index.join(counts.where("df > 1"), "token")), "token-index")
     sizes = index.select("doc", "n").distinct()
     sets = stage(sets.join(sizes.select("doc"), "doc", "left_semi"), "token-sets")
 
-    per = index.where("doc != first").groupBy("doc", "first").agg(F.count("*").alias("k"))
-    stars = per.groupBy(F.col("doc").alias("b")).agg(F.max(F.struct("k", (-F.col("first")).alias("back"))).alias("best"))
-    found = stage(verified(_near_in_size(stars.select((-F.col("best.back")).alias("a"), "b"), sizes), sets), "links")
-    labels = components(found)
+    found, labels = None, sets.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
+    for turn in range(HUB_ROUNDS):
+        new = stage(verified(hub_pairs(index, labels, turn), sets), "links")
+        if turn and new.isEmpty():
+            break
+        found = new if found is None else found.union(new)
+        labels = components(found)
     more = stage(verified(cross_pairs(index, labels), sets), "links")
     if not more.isEmpty():
         labels = components(found.union(more))
@@ -225,24 +250,24 @@ def _stay(index: DataFrame) -> DataFrame:
 
 def cross_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
     """Candidate pairs of texts that are in different components so far and share a rare token or two frequent ones."""
-    at = index.join(labels, index["doc"] == labels["node"], "left").select("doc", "n", "token", "df", F.coalesce("component", "doc").alias("c"))
+    at = index.join(labels, index["doc"] == labels["node"], "left").select("doc", "n", "r", "token", "df", F.coalesce("component", "doc").alias("c"))
     for _ in range(LEAVING_ROUNDS):
         at = stage(at, "labelled-index")
         spread = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
         at = _stay(at.join(spread, "token"))
     often_of = F.count_if(F.col("df") > FREQUENT).over(W.partitionBy("doc"))
     at = stage(at.withColumn("f", often_of), "open-index")
-    rare = at.where(F.col("df") <= FREQUENT).select(F.lit(-1).alias("band"), F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "doc", "n", "f", "c")
+    rare = at.where(F.col("df") <= FREQUENT).select(F.lit(-1).alias("band"), F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "doc", "n", "r", "f", "c")
     band = F.floor(F.ln("n") / math.log(100 / SIMILARITY_PERCENT)).cast("int")
-    often = at.where(F.col("df") > FREQUENT).select("doc", "n", "f", "c", "token", F.explode(F.array(band, band - 1)).alias("band"))
+    often = at.where(F.col("df") > FREQUENT).select("doc", "n", "r", "f", "c", "token", F.explode(F.array(band, band - 1)).alias("band"))
     often = often.withColumn("least_n", F.floor(F.pow(F.lit(100 / SIMILARITY_PERCENT), F.col("band"))).cast("bigint"))
     often = often.withColumn("g", F.expr(f"pmod(token, 1 + (least_n - ({SIMILARITY_PERCENT} * least_n + 99) div 100) div 4)"))
     two = often.join(often.select("doc", "band", "g", F.col("token").alias("other")), ["doc", "band", "g"]).where("token < other")
-    two = two.select("band", F.col("token").alias("k1"), F.col("other").alias("k2"), "doc", "n", "f", "c")
+    two = two.select("band", F.col("token").alias("k1"), F.col("other").alias("k2"), "doc", "n", "r", "f", "c")
     spread = two.groupBy("band", "k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "k1", "k2")
     signed = rare.union(two.join(spread, ["band", "k1", "k2"]))
-    other = signed.select("band", "k1", "k2", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("c").alias("cb"))
-    fit = f"doc < b and c != cb and 100 * least(n, nb) >= {SIMILARITY_PERCENT} * greatest(n, nb)"
+    other = signed.select("band", "k1", "k2", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("f").alias("fb"), F.col("c").alias("cb"))
+    fit = f"doc < b and c != cb and {_ALLOWED}"
     per = signed.join(other, ["band", "k1", "k2"]).where(fit).groupBy(F.col("doc").alias("a"), "b").agg(
         F.count_if(F.col("band") < 0).alias("k"), F.min(F.least("f", "fb")).alias("f"), F.min(F.least("n", "nb")).alias("m")
     )

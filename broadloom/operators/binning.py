@@ -1,8 +1,9 @@
 """Categorical binning by rule tables.
 
-A rule table has rows ``(var, val, bin)``. Small tables turn into one ``CASE`` per field whose value
-lists Spark tests by hash set, so binning any number of fields is a single projection without a join.
-Tables over ``RULE_LIMIT`` rows are joined instead, field by field.
+Rules in code turn into one ``CASE`` per field whose value lists Spark tests by hash set, so binning any
+number of fields is a single projection without a join. A rule table has rows ``(var, val, bin)``: it is reduced
+to one bin for each field and value (the smallest; rules without a value or bin say nothing) and joined field by
+field, whatever its size; Spark sends it to the tasks where it is small.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from broadloom.operators.selectors import col, quoted_name
 
-RULE_LIMIT = 10_000
 KEEP = object()
 
 
@@ -53,31 +53,13 @@ def bin_fields(df: DataFrame, rules: Iterable[BinRule]) -> DataFrame:
 
 
 def bin_by_table(df: DataFrame, table: DataFrame, settings: Iterable[BinRule]) -> DataFrame:
-    """Bin by a rule table ``(var, val, bin)``; ``settings`` gives the missing and other bins.
-
-    The table's size is checked: up to ``RULE_LIMIT`` rows are read to the driver, more are joined.
-    """
+    """Bin by a rule table ``(var, val, bin)``; ``settings`` gives the missing and other bins."""
     settings = list(settings)
-    used = table.where(F.col("var").isin([s.field for s in settings])).select("var", "val", "bin")
-    rows = used.limit(RULE_LIMIT + 1).collect()
-    if len(rows) > RULE_LIMIT:
-        return _bin_by_join(df, used, settings)
-    return bin_fields(df, [_filled(s, rows) for s in settings])
-
-
-def _filled(setting: BinRule, rows) -> BinRule:
-    bins: dict[str, list[str]] = {}
-    for var, val, name in rows:
-        if var == setting.field and val is not None:
-            bins.setdefault(name, []).append(val)
-    return BinRule(setting.field, bins, setting.missing, setting.other, setting.blanks)
-
-
-def _bin_by_join(df: DataFrame, table: DataFrame, settings: list[BinRule]) -> DataFrame:
+    told = table.where(F.col("val").isNotNull() & F.col("bin").isNotNull())
     out = df
     for s in settings:
         c, hit = col(s.field), f"__bin_{s.field}"
-        one = table.where(F.col("var") == s.field).groupBy(F.col("val").alias(s.field)).agg(F.min("bin").alias(hit))
+        one = told.where(F.col("var") == s.field).groupBy(F.col("val").alias(s.field)).agg(F.min("bin").alias(hit))
         joined = out.join(one, s.field, "left")
         binned = F.when(s._is_missing(c), F.lit(s.missing)).otherwise(F.coalesce(col(hit), s._other(c)))
         out = joined.select(*[binned.alias(n) if n == s.field else col(n) for n in df.columns])

@@ -15,14 +15,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from broadloom.operators.selectors import col, quoted_name, quoted_text
 
 EXPRESSION_PAIRS = 12
-TASKS_PER_CORE = 4
 LEAST_TASKS = 4096
+PARTITIONS_PER_TASK = 8
 CELLS_PER_STEP = 4_000_000
+#: Share of a raw sum of squares below which the centred one is computed again.
+CANCELLED = 1e-6
 
 _SUMMARY = "x_ord int, y_ord int, n double, mx double, my double, sxx double, syy double, sxy double"
 
@@ -106,36 +108,14 @@ def _by_gram(df: DataFrame, fields: list[str], targets: list[str] | None, tasks:
     wanted = list(dict.fromkeys(fields + (targets or [])))
     at = {n: i for i, n in enumerate(wanted)}
     values = df.selectExpr(*[f"CAST({quoted_name(n)} AS DOUBLE) AS v{i}" for n, i in at.items()])
-    # fewer, longer tasks mean fewer summaries to merge; a no-op when there are fewer partitions. The
-    # floor keeps a cluster busy that has not been given all its executors yet.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    values = values.coalesce(tasks or max(LEAST_TASKS, TASKS_PER_CORE * cores))
+    # beyond LEAST_TASKS partitions, one summary for several of them: lines stay a small share of the data
+    parts = values.rdd.getNumPartitions()
+    values = values.coalesce(tasks or max(min(parts, LEAST_TASKS), parts // PARTITIONS_PER_TASK))
     summaries = values.mapInArrow(
         _summariser([at[f] for f in fields], None if targets is None else [at[t] for t in targets]), _SUMMARY
     )
-    # merge around the common mean of the pair: both steps share one exchange by pair
-    pair = Window.partitionBy("x_ord", "y_ord")
-    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
-    summed = summaries.union(_all_pairs(df, len(fields), None if targets is None else len(targets))).select(
-        "*", F.sum(n).over(pair).alias("tn"), F.sum(n * mx).over(pair).alias("tx"), F.sum(n * my).over(pair).alias("ty")
-    )
-    cx, cy = (F.coalesce(F.try_divide(F.col(t), F.col("tn")), F.lit(0.0)) for t in ("tx", "ty"))
-    dx, dy = mx - F.col("cx"), my - F.col("cy")
-    merged = (
-        summed.withColumns({"cx": cx, "cy": cy})
-        .groupBy("x_ord", "y_ord")
-        .agg(
-            F.sum(n).alias("n"),
-            F.sum(F.col("sxx") + n * dx * dx).alias("sxx"),
-            F.sum(F.col("syy") + n * dy * dy).alias("syy"),
-            F.sum(F.col("sxy") + n * dx * dy).alias("sxy"),
-            F.first("cx").alias("cx"),
-            F.first("cy").alias("cy"),
-        )
-    )
-    # a constant side may leave rounding dust instead of an exact zero
-    spread = lambda s, c: F.when(F.col(s) > 1e-26 * n * F.col(c) * F.col(c), F.col(s)).otherwise(0.0)
-    return merged.select("x_ord", "y_ord", "n", spread("sxx", "cx").alias("sxx"), spread("syy", "cy").alias("syy"), "sxy")
+    lines = summaries.union(_all_pairs(df, len(fields), None if targets is None else len(targets)))
+    return lines.repartition("x_ord", "y_ord").mapInArrow(_merge_lines, _SUMMARY)
 
 
 def _all_pairs(df: DataFrame, width: int, targets: int | None) -> DataFrame:
@@ -150,8 +130,9 @@ def _all_pairs(df: DataFrame, width: int, targets: int | None) -> DataFrame:
 def _summariser(left: list[int], right: list[int] | None):
     """The per-task part of the Gram strategy: Arrow batches in, one line per pair out.
 
-    Columns are shifted by the first value the task sees, which keeps the sums small and makes a
-    constant column exactly zero. Wide batches are taken in slices to bound the memory of a step.
+    Batches are taken in slices to bound the memory of a step. In a slice every column is shifted by its
+    median; a pair whose sums still cancel is computed again around its own mean. Slices are merged by the
+    formula for means and moments, never by raw sums, so neither outliers nor large offsets reach other pairs.
     """
     cells = CELLS_PER_STEP
 
@@ -161,67 +142,95 @@ def _summariser(left: list[int], right: list[int] | None):
 
         square = right is None
         chosen = sorted(set(left) | set(right or []))
+        a = [chosen.index(i) for i in left]
+        b = a if square else [chosen.index(i) for i in right]
         most_rows = max(1, cells // len(chosen))
+        wanted = np.triu(np.ones((len(a), len(b)), bool), 1) if square else np.ones((len(a), len(b)), bool)
 
-        def slices():
-            for batch in batches:
-                for start in range(0, batch.num_rows, most_rows):
-                    yield batch.slice(start, most_rows)
-
-        shift = sums = None
-        for batch in slices():
-            data = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in chosen]).astype("float64")
+        def moments(data):
+            """``n``, both means and the three centred sums of each pair of a slice."""
             present = ~np.isnan(data)
-            if shift is None:
-                shift = np.full(data.shape[1], np.nan)
-            new = np.isnan(shift) & present.any(axis=0)
-            if new.any():
-                shift[new] = data[present.argmax(axis=0)[new], np.flatnonzero(new)]
-            base = np.nan_to_num(shift, posinf=0.0, neginf=0.0)
+            base = np.zeros(data.shape[1])
+            some = present.any(axis=0)
+            base[some] = np.nan_to_num(np.nanmedian(data[:, some], axis=0), posinf=0.0, neginf=0.0)
             centred = np.where(present, data - base, 0.0)
             mask = present.astype("float64")
-            a = [chosen.index(i) for i in left]
-            b = a if square else [chosen.index(i) for i in right]
             xa, ma, xb, mb = centred[:, a], mask[:, a], centred[:, b], mask[:, b]
-            with np.errstate(all="ignore"):
-                parts = [ma.T @ mb, xa.T @ mb, (xa * xa).T @ mb, xa.T @ xb]
-                parts += [parts[1].T, parts[2].T] if square else [ma.T @ xb, ma.T @ (xb * xb)]
-            sums = parts if sums is None else [s + p for s, p in zip(sums, parts)]
-        if sums is None:
+            n, sx, sxx, sxy = ma.T @ mb, xa.T @ mb, (xa * xa).T @ mb, xa.T @ xb
+            sy, syy = (sx.T, sxx.T) if square else (ma.T @ xb, ma.T @ (xb * xb))
+            m = np.maximum(n, 1.0)
+            out = [n, base[a][:, None] + sx / m, base[b][None, :] + sy / m, sxx - sx * sx / m, syy - sy * sy / m, sxy - sx * sy / m]
+            out[1][n == 0] = out[2][n == 0] = 0.0
+            cancels = wanted & (n > 0) & ~((out[3] > CANCELLED * sxx) & (out[4] > CANCELLED * syy))
+            for i, j in zip(*np.nonzero(cancels)):
+                both = present[:, a[i]] & present[:, b[j]]
+                x, y = data[both, a[i]], data[both, b[j]]
+                dx, dy = x - x[0], y - y[0]
+                mx, my = dx.mean(), dy.mean()
+                dx, dy = dx - mx, dy - my
+                for k, value in enumerate((x[0] + mx, y[0] + my, dx @ dx, dy @ dy, dx @ dy), 1):
+                    out[k][i, j] = value
+            return out
+
+        total = None
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for start in range(0, batch.num_rows, most_rows):
+                    piece = batch.slice(start, most_rows)
+                    data = np.column_stack([piece.column(i).to_numpy(zero_copy_only=False) for i in chosen]).astype("float64")
+                    new = moments(data)
+                    if total is None:
+                        total = new
+                        continue
+                    n = total[0] + new[0]
+                    share = new[0] / np.maximum(n, 1.0)
+                    dx, dy, f = new[1] - total[1], new[2] - total[2], total[0] * share
+                    total = [
+                        n, total[1] + dx * share, total[2] + dy * share,
+                        total[3] + new[3] + dx * dx * f, total[4] + new[4] + dy * dy * f, total[5] + new[5] + dx * dy * f,
+                    ]
+        if total is None:
             return
-        n, sx, sxx, sxy, sy, syy = sums
-        rows, cols = np.triu_indices(len(left), 1) if square else np.indices(n.shape).reshape(2, -1)
-        keep = n[rows, cols] > 0
-        rows, cols = rows[keep], cols[keep]
-        base_x = base[[chosen.index(i) for i in left]]
-        base_y = base_x if square else base[[chosen.index(i) for i in right]]
+        rows, cols = np.nonzero(wanted & (total[0] > 0))
         step = 50_000
         for start in range(0, len(rows), step):
             i, j = rows[start : start + step], cols[start : start + step]
-            m, px, py = n[i, j], sx[i, j], sy[i, j]
-            with np.errstate(all="ignore"):
-                cxx = sxx[i, j] - px * px / m
-                cyy = syy[i, j] - py * py / m
-                cxy = sxy[i, j] - px * py / m
-                flat_x = cxx <= 1e-12 * sxx[i, j]
-                flat_y = cyy <= 1e-12 * syy[i, j]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(i.astype("int32")),
-                    pa.array(j.astype("int32")),
-                    pa.array(m),
-                    pa.array(base_x[i] + px / m),
-                    pa.array(base_y[j] + py / m),
-                    pa.array(np.where(flat_x, 0.0, cxx)),
-                    pa.array(np.where(flat_y, 0.0, cyy)),
-                    pa.array(np.where(flat_x | flat_y, 0.0, cxy)),
-                ],
+                [pa.array(i.astype("int32")), pa.array(j.astype("int32")), *(pa.array(v[i, j]) for v in total)],
                 names=["x_ord", "y_ord", "n", "mx", "my", "sxx", "syy", "sxy"],
             )
 
     return run
 
 
+def _merge_lines(batches):
+    """Merge the lines of each pair of a partition around their common mean; the state is a line per pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["x_ord", "y_ord", "n", "mx", "my", "sxx", "syy", "sxy"]
+    held = None
+    for batch in batches:
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+        if held is not None:
+            new = [np.concatenate(pair) for pair in zip(held, new)]
+        # lines with rows first, so that the first line of a pair has a mean if any has
+        order = np.lexsort((new[2] == 0, new[1], new[0]))
+        x, y, n, mx, my, sxx, syy, sxy = (v[order] for v in new)
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, int)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+        add = lambda v: np.add.reduceat(v, first) if len(first) else v
+        with np.errstate(all="ignore"):
+            count = add(n)
+            shift_x, shift_y = mx[first], my[first]
+            mean_x = shift_x + add(n * (mx - shift_x[of])) / np.maximum(count, 1.0)
+            mean_y = shift_y + add(n * (my - shift_y[of])) / np.maximum(count, 1.0)
+            dx, dy = mx - mean_x[of], my - mean_y[of]
+            held = [x[first], y[first], count, mean_x, mean_y, add(sxx + n * dx * dx), add(syy + n * dy * dy), add(sxy + n * dx * dy)]
+    if held is not None and len(held[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], names=names)
+
+
 def both_ways(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The square matrix in long form ``(x, y, r)``: both orientations and a NULL diagonal."""
     turned = F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r"))

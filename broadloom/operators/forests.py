@@ -9,6 +9,7 @@ implementations, so ranks are comparable within this library only.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from broadloom.operators.joins import assert_unique
 from broadloom.operators.selectors import col
 from broadloom.operators.shadows import ROWS_PER_BLOCK, block_count, shadow_blocks, shadow_name, with_shadows
 from broadloom.operators.splitting import fold
-from broadloom.session import shared_path, spread, stage
+from broadloom.session import shared_path, stage
 
 LEAST_SHADOWS = 5
 
@@ -39,6 +40,8 @@ class Forest:
     depth: int = 6
     bins: int = 32
     seed: int = 12345
+    #: Rows of a training partition; part of the result, as forests bag by partition.
+    rows_per_partition: int = 50_000
 
     def estimator(self, run: int):
         make = RandomForestClassifier if self.classes else RandomForestRegressor
@@ -68,8 +71,21 @@ def _filled(field: str):
     return F.coalesce(value, F.lit(float(cells.MISSING_NUMBER)))
 
 
+def _placed(rows: DataFrame, columns: Sequence[str], per_partition: int) -> DataFrame:
+    """Rows dealt by a hash of their values and sorted by it, into partitions whose number follows the row count.
+
+    Forests bag by partition, so a fit must not depend on the cores or the packing of files. Rows with equal
+    hashes are equal in all that the fit sees.
+    """
+    place = F.xxhash64(*[col(c) for c in columns]).alias("__place")
+    parts = -(-rows.count() // per_partition) or 1
+    placed = rows.select(*[col(c) for c in columns], place).repartition(parts, "__place")
+    return placed.sortWithinPartitions("__place").drop("__place")
+
+
 def _importances(forest: Forest, rows: DataFrame, inputs: Sequence[str], run: int):
-    assembled = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(rows)
+    placed = _placed(rows, ["label", *inputs], forest.rows_per_partition)
+    assembled = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(placed)
     model = forest.estimator(run).fit(assembled.select("label", "features"))
     return model, dict(zip(inputs, model.featureImportances.toArray().tolist()))
 
@@ -106,7 +122,7 @@ def all_relevant(
 def _staged_blocks(table: DataFrame, key: str, columns: Sequence[str], seed: int, rows_per_block: int) -> DataFrame:
     staged = assert_unique(stage(table, "features"), key)  # a repeated key would make one block as large
     blocks = block_count(staged.count(), rows_per_block)
-    return spread(stage(shadow_blocks(staged, key, columns, blocks, seed), "blocks"))
+    return stage(shadow_blocks(staged, key, columns, blocks, seed), "blocks")
 
 
 def _relevance(blocks: DataFrame, label: str, fields: list[str], max_runs: int, forest: Forest) -> Relevance:
@@ -151,13 +167,14 @@ def chunked_relevance(
 
     The blocks of a chunk hold all targets, so the data is exchanged once per chunk, not once per
     target and run. With ``folder`` each result is saved as it is found, and a job that starts again
-    with the same folder goes on with what is missing.
+    with the same folder and settings goes on with what is missing; other results there are left alone.
     """
     spark, targets = df.sparkSession, list(targets)
     folder = folder or shared_path(spark, "relevance")
+    settings = {(t, c): _settings(t, c, list(f), max_runs, forest, rows_per_block) for t in targets for c, f in chunks.items()}
     done = _saved(spark, folder)
     for chunk, fields in sorted(chunks.items()):
-        open_targets = [t for t in targets if (t, chunk) not in done]
+        open_targets = [t for t in targets if settings[t, chunk] not in done]
         if not open_targets:
             continue
         labels = [col(t).cast("double").alias(t) for t in targets]
@@ -165,18 +182,24 @@ def chunked_relevance(
         blocks = _staged_blocks(numbers, key, [*targets, *fields], forest.seed, rows_per_block)
         for target in open_targets:
             found = _relevance(blocks, target, list(fields), max_runs, forest).fields
-            labelled = found.select(F.lit(target).alias("target"), F.lit(chunk).alias("chunk"), "*")
+            labelled = found.select(F.lit(target).alias("target"), F.lit(chunk).alias("chunk"), F.lit(settings[target, chunk]).alias("settings"), "*")
             labelled.coalesce(1).write.mode("append").parquet(folder)  # one row per field
-    return spark.read.parquet(folder)
+    asked = F.col("settings").isin(sorted(settings.values()))
+    return spark.read.parquet(folder).where(asked).drop("settings")
+
+
+def _settings(target: str, chunk: int, fields: list[str], max_runs: int, forest: Forest, rows_per_block: int) -> str:
+    """A digest of all that a saved result depends on, besides the data."""
+    return hashlib.sha256(repr((target, chunk, fields, max_runs, forest, rows_per_block)).encode()).hexdigest()
 
 
-def _saved(spark, folder: str) -> set[tuple[str, int]]:
-    """The targets and chunks a results folder already has."""
+def _saved(spark, folder: str) -> set[str]:
+    """The settings whose results a folder already has: one for each target and chunk of earlier jobs."""
     try:
         saved = spark.read.parquet(folder)
     except AnalysisException:  # nothing saved yet
         return set()
-    return {(r["target"], r["chunk"]) for r in saved.select("target", "chunk").distinct().collect()}
+    return {r["settings"] for r in saved.select("settings").distinct().collect()}
 
 
 @dataclass
@@ -205,7 +228,7 @@ def recursive_elimination(
     mean importance over the resamples.
     """
     fields = list(fields)
-    table = spread(stage(model_table(df, key, target, fields, forest.classes), "features"))
+    table = stage(model_table(df, key, target, fields, forest.classes), "features")
     steps = sorted({s for s in sizes if s < len(fields)} | {len(fields)}, reverse=True)
     scores: list[tuple[int, int, int, str, float]] = []
     ranks: dict[str, float] = dict.fromkeys(fields, 0.0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from broadloom.operators.ranking import first_per, top_per
 
@@ -25,9 +25,10 @@ def hits(history: DataFrame, within: Iterable[str] = ()) -> DataFrame:
     ``within`` names columns (target, chunk) whose runs are separate.
     """
     keys = [*within, "run"]
-    best = history.groupBy(*keys).agg(F.max(F.when(F.col("is_shadow"), F.col("importance"))).alias("shadow_max"))
-    real = history.where(~F.col("is_shadow")).select(*keys, "field", "importance")
-    return real.join(best, keys).withColumn("hit", F.when(F.col("importance") > F.col("shadow_max"), 1).otherwise(0))
+    best = F.max(F.when(F.col("is_shadow"), F.col("importance"))).over(Window.partitionBy(*keys))
+    real = history.select(*keys, "field", "importance", "is_shadow", best.alias("shadow_max")).where(~F.col("is_shadow"))
+    hit = F.when(F.col("importance") > F.col("shadow_max"), 1).otherwise(0)
+    return real.drop("is_shadow").withColumn("hit", hit)
 
 
 def tail_at_least(hit_count: int, runs: int) -> float:

@@ -134,34 +134,33 @@ def null_safe_join(spark, folder):
     """WITH f AS (SELECT o_custkey, count(*) AS cnt, round(sum(o_totalprice), 4) AS rev FROM orders
                   WHERE o_orderstatus = 'F' GROUP BY o_custkey),
     p AS (SELECT o_custkey, count(*) AS cnt, round(sum(o_totalprice), 4) AS rev FROM orders
-          WHERE o_orderstatus = 'P' GROUP BY o_custkey)
+          WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
     SELECT f.o_custkey, f.cnt AS cnt_x, f.rev AS rev_x, p.cnt AS cnt_y, p.rev AS rev_y
     FROM f JOIN p ON f.o_custkey = p.o_custkey""",
 )
 def suffix_join(spark, folder):
     """Join by key; other shared names get suffixes."""
 
-    def totals(status):
-        rows = ft.table(spark, folder, "orders").where(F.col("o_orderstatus") == status)
+    def totals(which):
+        rows = ft.table(spark, folder, "orders").where(which)
         return rows.groupBy("o_custkey").agg(
             F.count(F.lit(1)).alias("cnt"), F.round(F.sum("o_totalprice"), 4).alias("rev")
         )
 
-    return joins.keyed_join(totals("F"), totals("P"), ["o_custkey"])
+    return joins.keyed_join(totals(F.col("o_orderstatus") == "F"), totals(F.col("o_orderstatus") != "F"), ["o_custkey"])
 
 
 @query(
     "lookup_join",
-    """SELECT n.n_name, n.n_nationkey AS nation, t.customers, t.suppliers_bal
+    """SELECT n.n_name, n.n_nationkey AS nation, t.suppliers, t.suppliers_bal
     FROM nation n LEFT JOIN (
-      SELECT s_nationkey, count(*) AS customers, round(sum(s_acctbal), 4) AS suppliers_bal
-      FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) t ON n.n_nationkey = t.s_nationkey""",
+      SELECT s_nationkey, count(*) AS suppliers, round(sum(s_acctbal), 4) AS suppliers_bal
+      FROM supplier GROUP BY s_nationkey) t ON n.n_nationkey = t.s_nationkey""",
 )
 def lookup_join(spark, folder):
     """Left join where the key has another name on the right."""
-    rich = ft.table(spark, folder, "supplier").where(F.col("s_acctbal") > 5000)
-    totals = rich.groupBy("s_nationkey").agg(
-        F.count(F.lit(1)).alias("customers"), F.round(F.sum("s_acctbal"), 4).alias("suppliers_bal")
+    totals = ft.table(spark, folder, "supplier").groupBy("s_nationkey").agg(
+        F.count(F.lit(1)).alias("suppliers"), F.round(F.sum("s_acctbal"), 4).alias("suppliers_bal")
     )
     nation = ft.table(spark, folder, "nation").select("n_name", F.col("n_nationkey").alias("nation"))
     return joins.lookup_join(nation, totals, "nation", "s_nationkey")

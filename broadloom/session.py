@@ -67,14 +67,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A stage table over at least as many files as there are cores.
-
-    Small tables come back from files in very few partitions, which would leave repeated computing jobs
-    on a few cores; they are written once more, spread out. Large tables have plenty of partitions and
-    are returned as they are. No job is run to find out.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else stage(df.repartition(cores), "spread")

@@ -78,10 +78,8 @@ def test_missing_unlisted_and_kept(places):
     assert kinds(BinRule("kind", {}, other="OTHER", blanks=("c",))) == ["OTHER", "OTHER", "UNKNOWN", "UNKNOWN"]
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_rule_tables_join_beyond_the_limit(spark, places, limit, monkeypatch):
-    monkeypatch.setattr(binning, "RULE_LIMIT", limit)
-    rules = [("kind", "a b", "ONE"), ("kind", "c", "TWO"), ("zone", "y", "Y"), ("other", "x", "Z"), ("kind", None, "N")]
+def test_contradicting_and_null_rules_have_one_answer(spark, places):
+    rules = [("kind", "a b", "ZERO"), ("kind", "a b", "ONE"), ("kind", "A B", None), ("kind", "c", "TWO"), ("zone", "y", "Y"), ("other", "x", "Z"), ("kind", None, "N")]
     table = spark.createDataFrame(rules, "var string, val string, bin string")
     settings = [BinRule("kind"), BinRule("zone", missing="NULL", other=KEEP)]
     out = binning.bin_by_table(places, table, settings)

@@ -157,6 +157,19 @@ def test_chunked_relevance_goes_on_where_it_stopped(planted, tmp_path, monkeypat
     assert len(rows) == 12 and {(r.target, r.chunk) for r in rows} == {(t, c) for t in ("flag", "other") for c in (0, 1)}
     best = max((r for r in rows if r.target == "other"), key=lambda r: r.median_imp)
     assert best.field == "n1"
+    # other results in the folder are not handed out, other settings are not taken for these
+    narrower = forests.chunked_relevance(df, "id", ["flag"], {0: chunks[0]}, **settings)
+    assert {(r.target, r.field) for r in narrower.collect()} == {("flag", n) for n in chunks[0]} and len(fits) == 2
+    forests.chunked_relevance(df, "id", ["flag"], {0: chunks[0][:2]}, **settings)
+    assert len(fits) == 3
+
+
+def test_fits_do_not_depend_on_the_partitions(planted):
+    df, names = planted
+    forest = forests.Forest(trees=8, depth=3, rows_per_partition=100)
+    table = forests.model_table(df, "id", "flag", names, False)
+    found = [forests._importances(forest, table.repartition(n), names, 1)[1] for n in (1, 3, 8)]
+    assert found[0] == found[1] == found[2]
 
 
 @pytest.mark.parametrize("classes, target", [(False, "flag"), (True, "size")])

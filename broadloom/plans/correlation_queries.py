@@ -85,6 +85,33 @@ def corr_pair_rows(spark, folder):
     return _pairs(spark, folder).select("x", "y", "n")
 
 
+_SKEWED = ["revenue", "shifted", "price", "cust", "prio", "squared"]
+_SKEWED_SQL = """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL
+    WHEN o_orderstatus = 'P' THEN o_totalprice * 1e6 ELSE o_totalprice END AS revenue,
+  CASE WHEN o_orderstatus <> 'P' THEN o_totalprice + 1e7 END AS shifted, o_totalprice AS price,
+  CAST(o_custkey AS DOUBLE) AS cust, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prio,
+  o_totalprice * o_totalprice AS squared FROM orders"""
+
+
+@query(
+    "corr_skewed_gaps",
+    f"WITH {sql.pairs(_SKEWED_SQL, _SKEWED, 'o_orderkey')} SELECT x, y, round(r, 6) + 0.0 AS r, n FROM pairs",
+)
+def corr_skewed_gaps(spark, folder):
+    """A revenue with outliers and gaps, whose outliers have no partner in the shifted column."""
+    urgent, open_ = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "P"
+    price = F.col("o_totalprice")
+    orders = ft.table(spark, folder, "orders").select(
+        F.when(urgent, None).when(open_, price * 1e6).otherwise(price).alias("revenue"),
+        F.when(~open_, price + 1e7).alias("shifted"),
+        price.alias("price"),
+        F.col("o_custkey").cast("double").alias("cust"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("prio"),
+        (price * price).alias("squared"),
+    )
+    return correlation.correlation_pairs(orders, _SKEWED).select("x", "y", F.round("r", 6).alias("r"), "n")
+
+
 _STRICT_NUMBERS = [*NUMBERS, "price_scaled", "price_negated", "qty_nearly"]
 _STRICT_SQL = f"""SELECT *, 2 * price_sum + 1 AS price_scaled, -price_sum AS price_negated,
   qty_sum + ret_cnt / 4.0 AS qty_nearly FROM ({sql.ORDER_FEATURES})"""

@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.common import Remembered, columns_of, free_name, kinds_of, map_batches, utf8, whole_text
+from broadloom.llm.common import Remembered, columns_of, kinds_of, map_batches
 
 #: Pieces a worker remembers in each of two generations, and pairs of tokens whose validity it remembers. These
 #: bound memory only; results do not depend on them.
-REMEMBERED_PIECES = 1 << 17
+REMEMBERED_PIECES = 1 << 16
 REMEMBERED_PAIRS = 1 << 20
 
 
@@ -158,19 +158,26 @@ class TextEncoder:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.remembered.__getitem__, self.pattern.findall(text)))
 
+    def decode(self, ids: bytes) -> bytes | None:
+        return decoded(ids, self.pieces.token_bytes)
+
+
+def decoded(ids: bytes, token_bytes: dict[int, bytes]) -> bytes | None:
+    """The bytes of the ids; ``None`` where an id is not in the vocabulary."""
+    try:
+        return b"".join(map(token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    except KeyError:
+        return None
+
 
 class Decoder:
-    """Ids back to bytes."""
+    """Ids back to bytes, without the encoder's tables."""
 
     def __init__(self, rank_file: bytes):
         self.token_bytes = {rank: token for token, rank in rank_table(rank_file).items()}
 
     def decode(self, ids: bytes) -> bytes | None:
-        """The bytes of the ids; ``None`` where an id is not in the vocabulary."""
-        try:
-            return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        except KeyError:
-            return None
+        return decoded(ids, self.token_bytes)
 
 
 class EditableText:
@@ -229,11 +236,12 @@ def _per_row(column: pa.Array, fn) -> list:
     return [None if v is None else fn(v) for v in column.to_pylist()]
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", check: bool = False) -> DataFrame:
     """The columns of ``df`` but the text, with ``ids binary`` (little-endian unsigned 32-bit) and ``n_tokens``.
 
-    A null text encodes as empty. The rank file (a fixed vocabulary) is read once by the driver and sent to the
-    executors; texts stay where they are: no exchange. Columns named ``ids`` or ``n_tokens`` must not be there.
+    A null text encodes as empty. With ``check`` the ids are decoded at once and ``round_trip`` tells whether that
+    gives the text. The rank file (a fixed vocabulary) is read once by the driver and sent to the executors; texts
+    stay where they are: no exchange. Columns with the names of the new ones must not be there.
     """
     if clash := {"ids", "n_tokens", "decoded", "round_trip"} & set(df.columns):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
@@ -242,11 +250,16 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = text_encoder(ranks.value, pattern)
-        ids = [encoder.encode(t or "") for t in batch.columns[-1].to_pylist()]
-        counts = pa.array([len(i) // 4 for i in ids], pa.int64())
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), counts], [*batch.schema.names[:-1], "ids", "n_tokens"])
+        texts = [t or "" for t in batch.columns[-1].to_pylist()]
+        ids = [encoder.encode(t) for t in texts]
+        made = [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
+        if check:
+            made.append(pa.array([encoder.decode(i) == t.encode() for i, t in zip(ids, texts)], pa.bool_()))
+        names = ["ids", "n_tokens", "round_trip"][: len(made)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
 
-    return map_batches(df.select(*columns_of(rest), F.col(text)), encode, f"{kinds_of(rest)}, ids binary, n_tokens bigint")
+    schema = f"{kinds_of(rest)}, ids binary, n_tokens bigint" + ", round_trip boolean" * check
+    return map_batches(df.select(*columns_of(rest), F.col(text)), encode, schema.removeprefix(", "))
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -270,7 +283,4 @@ def coded_documents(documents: DataFrame, ranks_path: str, pattern: str) -> Data
 
 def token_rows(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """The columns of ``documents`` but the text, ``ids``, ``n_tokens`` and ``round_trip``: whether the ids decode to it."""
-    known = free_name(documents, "_digest")
-    encoded = encode_texts(documents.withColumn(known, F.sha2(utf8(whole_text(documents, text)), 256)), ranks_path, pattern, text)
-    decoded = decode_ids(encoded, ranks_path)
-    return decoded.withColumn("round_trip", F.sha2("decoded", 256) == F.col(known)).drop("decoded", known)
+    return encode_texts(documents, ranks_path, pattern, text, check=True)

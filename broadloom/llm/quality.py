@@ -46,7 +46,8 @@ def measures(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with a struct column ``name`` of the measures.
 
     The words found in repeated 3-word windows are counted from sorted (hash, position) pairs: equal neighbours
-    mark window starts, and each start covers the words up to the next start, three at most.
+    mark window starts, and each start covers the words up to the next start, three at most. Write the result before
+    filtering it: a filter pushed below would repeat the array expressions inside one another.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     h = F.transform(F.array_remove(F.split(t, SPACES), ""), lambda x: F.xxhash64(x))
@@ -67,9 +68,7 @@ def measures(df: DataFrame, text: str, name: str) -> DataFrame:
         "n_repeat_words": "_r",
         "n_lines": "cast(size(_l) as bigint)",
         "n_capitals": "cast(length(_t) - length(translate(_t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as bigint)",
-        # the last test is never true; it keeps filters above this projection, where pushing them below would
-        # repeat the array expressions inside one another
-        "base_failed": f"_n < {LEAST_WORDS} or 100 * _r > {MOST_REPEATED_PERCENT} * _n or monotonically_increasing_id() < 0",
+        "base_failed": f"_n < {LEAST_WORDS} or 100 * _r > {MOST_REPEATED_PERCENT} * _n",
     }
     return out.select("_row.*", F.expr("struct(" + ", ".join(f"{e} as {n}" for n, e in fields.items()) + ")").alias(name))
 
@@ -135,10 +134,9 @@ def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """The documents that pass, with the columns they had."""
     name, kept = free_name(documents, "_m"), free_name(documents, "_kept")
-    narrow = measures(documents.select(key, stratum, text), text, name).drop(text)
-    found = stage(cutoffs(narrow, labels, key, stratum, name), "quality-cutoffs")
-    judged = _judged(measures(documents, text, name), found, stratum, name, kept)
-    return judged.where(F.col(kept)).select(*columns_of(documents))
+    measured = stage(measures(documents, text, name), "quality-measures")
+    found = stage(cutoffs(measured, labels, key, stratum, name), "quality-cutoffs")
+    return _judged(measured, found, stratum, name, kept).where(F.col(kept)).select(*columns_of(documents))
 
 
 def _sql() -> str:

@@ -36,7 +36,7 @@ LEAST_ADDED = 12
 #: The bounded training sample: documents with credential signs, documents without, windows of each document.
 TRAIN_DOCUMENTS, TRAIN_WINDOWS, WINDOW_TOKENS = 150, 4, 24
 TRAIN_STEPS, STEP_SIZE, SHRINK = 80, 0.4, 2e-5
-REMEMBERED_WORDS = 1 << 17
+REMEMBERED_WORDS = 1 << 16
 
 _TOKEN = re.compile(r"[^\W_]+|\S")
 _KEYWORDS = {"password": 1, "passwd": 1, "pwd": 1, "secret": 1, "token": 1, "apikey": 1, "api": 1, "key": 1, "auth": 1, "bearer": 1, "credential": 1}

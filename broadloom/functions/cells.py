@@ -83,6 +83,11 @@ def repaired_flag(flag: Column, duplicate: Column) -> Column:
     return F.when((flag == 0) & (duplicate == 1), 1).otherwise(0)
 
 
+#: What a trend code and a pattern word can be.
+TREND_CODES = ("D", MISSING_TEXT, "U")
+TREND_WORDS = ("1PLUS_DIFF_UT", "ALL_DOWN", "ALL_NULL", "ALL_UP")
+
+
 def trend_pattern(cols: list[Column]) -> Column:
     """One word for a row of trend codes: all missing, all up, all down, or mixed."""
 

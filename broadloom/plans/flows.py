@@ -123,11 +123,17 @@ def encoded_codes(
 
 
 def trend_features(trends: DataFrame, key: str, groups: Mapping[str, Selector], most: int = presets.LEVELS_TRENDS):
-    """Trend codes with a pattern word per group of columns, one-hot encoded."""
+    """Trend codes with a pattern word per group of columns, one-hot encoded.
+
+    Codes and words are closed sets, so their columns do not depend on what occurs; other text columns get those
+    of their levels.
+    """
     codes = cleaning.sentinels_to_text(cleaning.fill_missing(trends), ends_with("_TREND_CATG"))
     patterns = [cells.trend_pattern([col(n) for n in g.names(codes)]).alias(name) for name, g in groups.items()]
-    worded = codes.select("*", *patterns)
-    return encoding.dummify(worded, most, text() & ~any_of([key]))
+    levels = {n: list(cells.TREND_CODES) for n in ends_with("_TREND_CATG").names(codes)}
+    levels |= {name: list(cells.TREND_WORDS) for name in groups}
+    flags = encoding.one_hot(codes.select("*", *patterns), list(levels), levels, clean=False)
+    return encoding.dummify(flags, most, text() & ~any_of([key]))
 
 
 def ranked_selection(

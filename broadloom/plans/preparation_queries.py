@@ -635,10 +635,21 @@ def encoded_codes(spark, folder):
     return flows.encoded_codes(stage(df, "assembled"), rules, ["ret_cnt", "open_cnt"])
 
 
-@query("trend_features")
+_CODE_FLAGS = ", ".join(
+    f'CAST("{t}_TREND_CATG" = \'{v}\' AS INTEGER) AS "{t}_TREND_CATG_{v}"' for t in ft.EVENT_TYPES for v in cells.TREND_CODES
+)
+_ALL_CODES = " || ".join(f'"{t}_TREND_CATG" || \'_\'' for t in ft.EVENT_TYPES)
+_WORD_FLAGS = ", ".join(f"CAST(word = '{w}' AS INTEGER) AS \"TREND_PATTERN_{w}\"" for w in cells.TREND_WORDS)
+
+
+@query(
+    "trend_features",
+    f"""SELECT user_id, {_CODE_FLAGS}, {_WORD_FLAGS} FROM (
+      SELECT *, CASE {_ALL_CODES} WHEN repeat('NULL_', 5) THEN 'ALL_NULL' WHEN repeat('U_', 5) THEN 'ALL_UP'
+        WHEN repeat('D_', 5) THEN 'ALL_DOWN' ELSE '1PLUS_DIFF_UT' END AS word FROM ({sql.EVENT_TRENDS}))""",
+)
 def trend_features(spark, folder):
-    """Trend codes and their pattern word as 0/1 columns. Which patterns occur depends on the data, so
-    the column list is not fixed and there is no SQL twin; ``trend_pattern`` checks the words."""
+    """Trend codes and their pattern word as 0/1 columns."""
     trends = stage(ft.event_trends(spark, folder), "trends")
     return flows.trend_features(trends, "user_id", {"TREND_PATTERN": s.ends_with("_TREND_CATG")})
 

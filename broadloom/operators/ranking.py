@@ -11,11 +11,23 @@ from broadloom.functions import cells
 from broadloom.operators.selectors import col
 
 
+#: Ranks up to which Spark trims the groups of a map task (``spark.sql.optimizer.windowGroupLimitThreshold``).
+TRIMMED_BY_SPARK = 1000
+SALTS = 64
+
+
 def top_per(df: DataFrame, keys: Iterable[str], order: Iterable[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group in the given order, with their rank.
 
-    Spark trims every map-side group to ``k`` rows before the exchange, so a hot key stays cheap.
+    Spark trims every map-side group to ``k`` rows before the exchange up to ``TRIMMED_BY_SPARK`` rows; for more,
+    each group is first ranked in ``SALTS`` parts, so a hot key never goes whole to one task.
     """
+    keys, order = list(keys), list(order)
+    if k > TRIMMED_BY_SPARK:
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[col(n) for n in df.columns]), F.lit(SALTS)))
+        part = Window.partitionBy(*[col(n) for n in keys], "__salt").orderBy(*order)
+        df = salted.withColumn("__part_rank", F.row_number().over(part)).where(F.col("__part_rank") <= k)
+        df = df.drop("__salt", "__part_rank")
     window = Window.partitionBy(*[col(n) for n in keys]).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
@@ -23,7 +35,7 @@ def top_per(df: DataFrame, keys: Iterable[str], order: Iterable[Column], k: int,
 def first_per(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
     """Keep the whole first row per key, ascending by the ``order`` columns (missing values first).
 
-    One aggregation with map-side combine; nothing is sorted.
+    One aggregation with map-side combine. Rows are structs, which Spark aggregates by sorting within tasks.
     """
     keys, order = list(keys), list(order)
     rest = [n for n in df.columns if n not in keys and n not in order]

@@ -69,3 +69,13 @@ def test_unused_totals_are_never_computed(spark):
     schemas = [s.split(">")[0] for s in plan(df).split("ReadSchema: struct<")[1:]]
     assert "l_orderkey:bigint,l_quantity:double" in schemas
     assert minus_names(["l_extendedprice"], ",".join(schemas).split(",")) == ["l_extendedprice"]
+
+
+def test_large_ranks_are_salted_first(spark):
+    from broadloom.operators import ranking
+
+    df = spark.range(30_000).selectExpr("1 AS key", "id AS v")
+    top = ranking.top_per(df, ["key"], [F.col("v").desc()], 5000)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number()") >= 2 and "__salt" in plan
+    assert sorted(r.v for r in top.collect()) == list(range(25_000, 30_000))

@@ -8,7 +8,7 @@ import xxhash
 from broadloom.llm.common import SHINGLE_WORDS, Remembered
 
 _MIX, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_WORDS = Remembered(lambda w: xxhash.xxh3_64_intdigest(w), 1 << 16)
+_WORDS = Remembered(lambda w: xxhash.xxh3_64_intdigest(w), 1 << 17)
 
 
 def word_hashes(text: str | None) -> np.ndarray:

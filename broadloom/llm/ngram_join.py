@@ -45,7 +45,7 @@ from broadloom.session import releasing_shuffles, stage
 #: Texts up to which a token is rare.
 FREQUENT = 64
 #: Prefix tokens that a group of the counting exchange is planned to hold.
-GROUP_TOKENS = 1_000_000
+GROUP_TOKENS = 250_000
 #: Rounds of leaving over open tokens; more rounds only save later work.
 LEAVING_ROUNDS = 2
 #: Rounds against one other text each, before all pairs between components; more rounds only save later work.
@@ -120,8 +120,8 @@ def shared_tokens(sketches: DataFrame, groups: int, counts_only: bool = False) -
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(5)], ["part", "token", "doc", "weight", "first"])
 
     def count(table: pa.Table) -> pa.Table:
-        answered = [r for r in table.to_pylist() if r["first"] is not None]
-        rest = [r for r in table.to_pylist() if r["first"] is None]
+        rows = table.to_pylist()
+        answered, rest = [r for r in rows if r["first"] is not None], [r for r in rows if r["first"] is None]
         get = lambda rows, name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
         token, doc, weight = get(rest, "token", np.uint64), get(rest, "doc", np.int64), get(rest, "weight", np.int32)
         order = np.lexsort((doc, token))

@@ -341,6 +341,17 @@ def test_passages_are_found(spark, hard, none):
     assert {r["doc_id"] for r in passages.repeated_passages(hard).collect()} == {6, 7}
 
 
+@pytest.mark.parametrize("copies, single, gap", [(3, 1, 0), (5, 1, 0), (6, 2, 7), (9, 1, 20)])
+def test_inner_copies_of_a_repeated_passage_are_found(copies, single, gap):
+    passage = prose(70, 60)
+    texts = [" ".join(passage + " " + prose(base + i, gap) for i in range(n)) for base, n in ((800, copies), (900, single))]
+    x, y = (shingles.word_hashes(t).astype(np.uint32) for t in texts)
+    for flip in (False, True):
+        found = passages.common_passages(*((y, x) if flip else (x, y)))
+        covered = {w for f in found for w in range(*(f[2:] if flip else f[:2]))}
+        assert covered >= {i * (60 + gap) + w for i in range(copies) for w in range(60)}
+
+
 def test_short_texts_have_one_shingle():
     assert len(shingles.shingle_set(shingles.word_hashes("a b"))) == 1
     assert shingles.shingle_set(shingles.word_hashes("a b")) != shingles.shingle_set(shingles.word_hashes("a b c"))

@@ -352,6 +352,20 @@ def test_inner_copies_of_a_repeated_passage_are_found(copies, single, gap):
         assert covered >= {i * (60 + gap) + w for i in range(copies) for w in range(60)}
 
 
+def test_passages_beside_a_shorter_first_copy_are_found(spark):
+    texts = {}
+    for g in range(40):
+        shared = prose(1000 + g, 52).split()
+        for i in range(6):
+            cut = shared[: 45 + g % 4] if i == 0 else shared
+            texts[10 * g + i] = " ".join([prose(2000 + 10 * g + i, 60), *cut, prose(3000 + 10 * g + i, 60)])
+    docs = spark.createDataFrame(rows(texts.items()), KINDS)
+    got = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert {k for k, words in got.items() if words >= set(range(60, 112))} == {k for k in texts if k % 10}
+
+
 def test_short_texts_have_one_shingle():
     assert len(shingles.shingle_set(shingles.word_hashes("a b"))) == 1
     assert shingles.shingle_set(shingles.word_hashes("a b")) != shingles.shingle_set(shingles.word_hashes("a b c"))

@@ -414,7 +414,7 @@ _WIDE = [n for n in NUMBERS if n != "open_cnt"]
 def boruta_forest(spark, folder):
     """All-relevant selection for a 0/1 target over all orders."""
     df = ft.order_features(spark, folder).withColumn("many_open", F.when(F.col("open_cnt") >= 3, 1).otherwise(0))
-    return forests.all_relevant(df, ft.ORDER_KEY, "many_open", _WIDE, max_runs=6, forest=_FOREST).fields
+    return forests.all_relevant(df, ft.ORDER_KEY, "many_open", _WIDE, presets.FINAL_RUNS, _FOREST).fields
 
 
 @query("boruta_multiclass")
@@ -423,7 +423,7 @@ def boruta_multiclass(spark, folder):
     df = ft.order_features(spark, folder).where(F.col("ret_flg") == 1)
     size = F.when(F.col("qty_sum") > 150, "LARGE").when(F.col("qty_sum") > 75, "MEDIUM").otherwise("SMALL")
     fields = [n for n in NUMBERS if n not in ("qty_sum", "ret_flg")]
-    found = forests.all_relevant(df.withColumn("size", size), ft.ORDER_KEY, "size", fields, 5, _CLASS_FOREST)
+    found = forests.all_relevant(df.withColumn("size", size), ft.ORDER_KEY, "size", fields, presets.FILTERED_RUNS, _CLASS_FOREST)
     return found.fields
 
 
@@ -431,10 +431,10 @@ def boruta_multiclass(spark, folder):
 def boruta_chunks(spark, folder):
     """Taxonomy, column chunks, forests per target and chunk, and the combined best list."""
     df = ft.order_features(spark, folder)
-    flags = {"urgent": "1-URGENT", "high": "2-HIGH"}
+    flags = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM"}
     flagged = df.select("*", *[F.when(F.col("o_orderpriority") == c, 1).otherwise(0).alias(n) for n, c in flags.items()])
     return flows.ranked_selection(
-        flagged, ft.ORDER_KEY, list(flags), NUMBERS, chunk_size=7, max_runs=4, best=5, forest=_FOREST,
+        flagged, ft.ORDER_KEY, list(flags), NUMBERS, chunk_size=7, max_runs=presets.CHUNK_RUNS, best=presets.BEST_PER_TARGET, forest=_FOREST,
         rules=(("contains", "_sum", "SUM"), ("contains", "_cnt", "COUNT")),
     )
 
@@ -444,7 +444,7 @@ def rfe_forest(spark, folder):
     """Recursive elimination for a 0/1 target: scores per subset size."""
     df = ft.order_features(spark, folder).withColumn("many_open", F.when(F.col("open_cnt") >= 3, 1).otherwise(0))
     return forests.recursive_elimination(
-        df, ft.ORDER_KEY, "many_open", _WIDE, sizes=(1, 5), folds=3, repeats=1, forest=_FOREST
+        df, ft.ORDER_KEY, "many_open", _WIDE, presets.SUBSET_SIZES_CODES, presets.RESAMPLE_FOLDS, presets.RESAMPLE_REPEATS, _FOREST
     ).profile
 
 
@@ -455,6 +455,6 @@ def rfe_predictors(spark, folder):
     size = F.when(F.col("qty_sum") > 150, "LARGE").when(F.col("qty_sum") > 75, "MEDIUM").otherwise("SMALL")
     fields = [n for n in NUMBERS if n not in ("qty_sum", "line_cnt", "has_line_flg")]
     found = forests.recursive_elimination(
-        df.withColumn("size", size), ft.ORDER_KEY, "size", fields, (1, 5), folds=2, repeats=1, forest=_CLASS_FOREST
+        df.withColumn("size", size), ft.ORDER_KEY, "size", fields, presets.SUBSET_SIZES_ALL, presets.RESAMPLE_FOLDS, presets.RESAMPLE_REPEATS, _CLASS_FOREST
     )
     return spark.createDataFrame(list(enumerate(found.selected, 1)), "rank int, field string")

@@ -194,3 +194,10 @@ def test_kappa_against_its_definition(spark):
     got = forests._scores(df, True)
     chance = (8 / 12) * (7 / 12) + (4 / 12) * (5 / 12)
     assert got["Accuracy"] == 9 / 12 and got["Kappa"] == pytest.approx((9 / 12 - chance) / (1 - chance))
+
+
+def test_registered_boruta_confirms_and_rejects(spark):
+    import __spark_entry__ as contract
+
+    rows = contract.queries()["boruta_forest"](spark, "/root/testdata/sf0.001").collect()
+    assert {"Confirmed", "Rejected"} <= {r["decision"] for r in rows}

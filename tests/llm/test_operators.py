@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -151,10 +152,12 @@ def test_field_decodes_like_whole_viterbi_and_finds_new_secrets(spark, hard, non
 
 def test_licenses(spark, hard, none):
     full = licenses.TEMPLATES["mit-full"]
-    wrapped = "\n".join(full[i : i + 70] for i in range(0, len(full), 70))
-    texts = {10: "Copyright 2020 me\n" + wrapped, 11: "a\nlicensed under CC-BY NC 4.0!\nb", 12: "Released under the MIT licence", 13: prose(1, 50), 14: full.replace("copies", "copys")}
+    wrapped = textwrap.fill(full, 70, break_long_words=False, break_on_hyphens=False)
+    cut = "\n".join(full[i : i + 70] for i in range(0, len(full), 70))  # through words, so bigrams are lost
+    texts = {15: "Copyright 2020 me\n" + cut, 10: "Copyright 2020 me\n" + wrapped, 11: "a\nlicensed under CC-BY NC 4.0!\nb", 12: "Released under the MIT licence", 13: prose(1, 50), 14: full.replace("copies", "copys")}
     found = {r["doc_id"]: r for r in licenses.license_report(hard.union(spark.createDataFrame(rows(texts.items()), KINDS))).collect()}
     assert found[10]["licenses"] == "mit-full" and found[10]["best_dice"] >= 980
+    assert found[15]["licenses"] == "mit-full" and found[15]["best_dice"] == 857
     assert found[11]["licenses"] == "cc-by-nc-4.0" and found[11]["best_dice"] == 1000
     assert found[12]["licenses"] == "" and found[13]["n_units"] == 0 and found[14]["licenses"] == "mit-full"
     assert found[1]["best_dice"] is None

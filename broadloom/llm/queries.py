@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import byte_bpe, decontamination, licenses, ngram_join, passages, quality, secret_tags, sharding, token_files, warc
+from broadloom.llm import (
+    byte_bpe, centroids, decontamination, licenses, merkle, ngram_join, passages, quality, secret_tags, sharding, simhash,
+    token_files, warc,
+)
 from broadloom.llm.common import table
 from broadloom.session import shared_path
 
@@ -75,3 +78,24 @@ QUERIES["op10_passages"] = op10_passages
 TWINS["op9_decontamination"] = decontamination.SQL
 QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op1_byte_bpe"] = op1_byte_bpe
+
+
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_proofs(table(spark, folder, "documents"))
+
+
+QUERIES["op11_merkle"], TWINS["op11_merkle"] = op11_merkle, merkle.SQL
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES["op12_simhash"] = op12_simhash
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.embedding_clusters(table(spark, folder, "embeddings"))
+
+
+QUERIES["op13_centroids"], TWINS["op13_centroids"] = op13_centroids, centroids.SQL

@@ -1,3 +1,4 @@
+import uuid
 from pathlib import Path
 
 import pytest
@@ -5,7 +6,7 @@ import pytest
 from broadloom.operators import selectors as s
 from broadloom.operators.binning import BinRule
 from broadloom.plans import flows
-from broadloom.session import shared_folder, shared_path, stage
+from broadloom.session import StageRegistry, discard, shared_folder, shared_path, stage
 from broadloom.sources import files
 
 
@@ -33,6 +34,22 @@ def test_text_survives_the_roundtrip(spark, sep, read):
     assert sorted(tuple(r) for r in read(spark, path, "k int, t string").collect()) == rows
 
 
+def test_line_breaks_and_repeated_headers(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text('A,A,,A.1,a\n1,"two\nlines, ""q""",x,y,5\n2,NA,,"\n",6\n')
+    back = files.read_csv(spark, str(path), line_breaks=True)
+    assert back.columns == ["A", "A.2", "X3", "A.1", "a.3"]
+    rows = [tuple(r) for r in back.collect()]
+    assert rows[0] == (1, 'two\nlines, "q"', "x", "y", 5) and rows[1][:3] == (2, None, None)
+    by_place = files.read_csv(spark, str(path), "k int, t string, u string, v string, w int", line_breaks=True)
+    assert by_place.columns == list("ktuvw") and by_place.first().t == 'two\nlines, "q"'
+    texts = [(1, "a\nb"), (2, '"\n"'), (3, "c,\r\nd")]
+    out = shared_path(spark, "broken")
+    files.write_csv(spark.createDataFrame(texts, "k int, t string"), out)
+    assert sorted(tuple(r) for r in files.read_csv(spark, out, "k int, t string", line_breaks=True).collect())[:2] == texts[:2]
+    assert files.repaired_names(["x", "x", "X", None, " ", "x.1"]) == ["x", "x.2", "X.3", "X4", "X5", "x.1"]
+
+
 def test_text_sink(spark):
     path = shared_path(spark, "list")
     files.write_text(spark.createDataFrame([("a,\nb",)], "code string"), path)
@@ -55,6 +72,40 @@ def test_stage_cuts_lineage_and_keeps_the_schema(spark):
     assert "Aggregate" not in plan and shared_folder(spark) in plan.replace("file:", "")
 
 
+def test_discarded_stages_are_gone(spark):
+    one, two = stage(spark.range(3), "one"), stage(spark.range(4), "two")
+    discard(one, spark.range(1))
+    assert two.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(one.staged_at).count()
+
+
+def test_a_rerun_finds_finished_stages(spark, tmp_path):
+    job = f"job-{uuid.uuid4().hex}"
+    source = str(tmp_path / "source")
+    spark.range(10).write.parquet(source)
+    wide = lambda: spark.read.parquet(source).selectExpr("id", "id * 2 AS twice")
+    first = StageRegistry(spark, job).keep("wide", wide())
+    again = StageRegistry(spark, job).keep("wide", wide())
+    assert again.staged_at == first.staged_at and again.count() == 10
+    other = StageRegistry(spark, job).keep("wide", wide().where("id > 4"))  # another plan replaces it
+    assert other.staged_at != first.staged_at and other.count() == 5
+    assert not Path(first.staged_at.replace("file:", "")).exists()
+    registry = StageRegistry(spark, job)
+    registry.keep("narrow", spark.read.parquet(source), version="2")
+    assert set(registry.finished()) == {"wide", "narrow"}
+    spark.range(20).write.mode("overwrite").parquet(source)  # new files are another source
+    assert registry.keep("narrow", spark.read.parquet(source), version="2").count() == 20
+    # a stage whose write did not end does not count
+    Path(f"{registry.keep('narrow', spark.read.parquet(source), version='2').staged_at}/_SUCCESS".replace("file:", "")).unlink()
+    assert set(registry.finished()) == {"wide"}
+    assert registry.keep("narrow", spark.read.parquet(source), version="2").count() == 20
+    registry.release("wide")
+    assert set(registry.finished()) == {"narrow"}
+    registry.close()
+    assert registry.finished() == {}
+
+
 def test_master_table_flow(spark):
     rows = [(1, "X", "a", "p q", 1.0), (2, "Y", None, None, None), (3, "Z", "b", "p q", 2.0)]
     df = spark.createDataFrame(rows, "id int, cls string, code string, place string, v double")

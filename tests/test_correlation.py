@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from broadloom.operators import correlation as c
+from pyspark.sql import functions as F
+
+from broadloom.operators import correlation, correlation as c
 
 
 def brute(columns, i, j):
@@ -196,3 +198,74 @@ def test_a_large_first_value_without_partner(spark, value):
     y = [None, *(float(v + 0.01 * e) for v, e in zip(x[1:], np.random.default_rng(3).normal(size=500)))]
     df, names = table(spark, [x, y], parts=1)
     agrees(as_dict(c.correlation_pairs(df, names, strategy="gram")), [x, y], {(0, 1): tuple(names)})
+
+
+def _hard_rows(n, width):
+    """Gaps, skew, large offsets, a constant, an infinity, columns that never share a row."""
+    rng = np.random.default_rng(11)
+    x = rng.lognormal(2, 3, (n, width)) + rng.choice([0, 1e7], width)
+    x[:, 1] = 5.0
+    x[:, 2] = x[:, 3] * 0.5 + rng.normal(size=n)
+    x[rng.random((n, width)) < 0.3] = np.nan
+    x[: n // 2, 4] = np.nan
+    x[n // 2 :, 5] = np.nan
+    x[3, 6] = np.inf
+    return [[None if np.isnan(v) else float(v) for v in row] for row in x]
+
+
+def _table(pairs):
+    return {(r.x, r.y): (r.n, r.r) for r in pairs.collect()}
+
+
+def _assert_same(one, two):
+    assert one.keys() == two.keys()
+    for pair, (n, r) in one.items():
+        assert n == two[pair][0]
+        assert (r is None) == (two[pair][1] is None) and (r is None or abs(r - two[pair][1]) < 1e-9), pair
+
+
+def test_both_strategies_tiles_and_groups_agree_on_hard_data(spark):
+    names = [f"c{i}" for i in range(11)]
+    df = spark.createDataFrame(_hard_rows(600, 11), ", ".join(f"{n} double" for n in names)).repartition(150)
+    whole = _table(correlation.correlation_pairs(df, names, strategy="gram"))
+    assert len(whole) == 55 and whole["c4", "c5"][0] == 0
+    _assert_same(whole, _table(correlation.correlation_pairs(df, names, strategy="expressions")))
+    for tile in (1, 4, 11, 50):
+        _assert_same(whole, _table(correlation.correlation_pairs(df, names, strategy="gram", tile=tile)))
+    sides = _table(correlation.correlation_pairs(df, names[:7], names[5:], strategy="gram", tile=3))
+    other = _table(correlation.correlation_pairs(df, names[:7], names[5:], strategy="expressions"))
+    _assert_same(sides, other)
+
+
+def test_lines_are_merged_by_task_groups_first(spark):
+    names = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([r[:6] for r in _hard_rows(300, 7)], ", ".join(f"{n} double" for n in names))
+    many = df.repartition(200)
+    pairs = correlation.correlation_pairs(many, names, strategy="gram")
+    shown = pairs._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in shown.splitlines() if "Exchange" in line or "MapInArrow" in line]
+    # over all tasks, below it over groups of tasks, below it the summaries
+    assert ["Exchange hashpartitioning(x_ord" in line for line in lines[:5]] == [False, True, False, True, False]
+    assert "task" in lines[3] and "task" not in lines[1].split("hashpartitioning")[1].split("]")[0].split("REPARTITION")[0]
+    _assert_same(_table(pairs), _table(correlation.correlation_pairs(df.coalesce(1), names, strategy="gram")))
+
+
+def test_no_rows_and_no_fields(spark):
+    df = spark.createDataFrame([], "a double, b double, c double")
+    assert _table(correlation.correlation_pairs(df, ["a", "b", "c"], strategy="gram", tile=2)) == {("a", "b"): (0, None), ("a", "c"): (0, None), ("b", "c"): (0, None)}
+    assert correlation.correlation_pairs(df, [], strategy="gram").count() == 0
+    assert correlation.correlation_pairs(df, ["a"], strategy="gram").count() == 0
+
+
+def test_five_thousand_columns_by_tiles(spark):
+    """Wider than one matrix should be: 12.5 million pairs, compared with numpy on some of them."""
+    width, rows = 5000, 40
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(rows, width))
+    packed = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    df = packed.select(*[F.col("v")[i].alias(f"c{i}") for i in range(width)])
+    pairs = correlation.correlation_pairs(df, df.columns, strategy="gram")
+    some = pairs.where("x_ord % 977 = 0 AND y_ord % 613 = 0").collect()
+    assert len(some) > 20 and all(r.n == rows for r in some)
+    for r in some:
+        assert abs(r.r - np.corrcoef(x[:, r.x_ord], x[:, r.y_ord])[0, 1]) < 1e-9

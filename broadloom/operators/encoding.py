@@ -36,7 +36,7 @@ def levels_of(df: DataFrame, fields: Iterable[str], limit: int = LEVEL_LIMIT) ->
         return {}
     rows = level_table(df, fields).limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} levels in {fields}: too many to become columns")
+        raise ValueError(f"more than {limit} levels in {fields}: too many to become columns; dictionary.sparse_codes has no bound")
     found: dict[str, list[str | None]] = {f: [] for f in fields}
     for var, val in rows:
         found[var].append(val)

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from broadloom.operators import knockout, manifest
 
 
@@ -62,3 +66,42 @@ def test_relevance_leaves_dropped_fields_out(spark):
     table = pairs(spark, [("a", 0, "t", 2, -0.5), ("b", 1, "t", 2, 0.2), ("a", 0, "b", 1, 0.9)])
     dropped = spark.createDataFrame([("b",)], "field string")
     assert [tuple(r) for r in knockout.target_relevance(table, "t", dropped).collect()] == [("a", -0.5, 0.5)]
+
+
+def greedy_by_hand(edges):
+    fields = sorted({f for e in edges for f in e})
+    standing, out = [], {}
+    for y in fields:
+        by = [x for x in standing if (x, y) in edges]
+        if by:
+            out[f"f{y}"] = f"f{by[0]}"
+        else:
+            standing.append(y)
+    return out
+
+
+@pytest.mark.parametrize("seed, width, share", [(1, 12, 0.3), (2, 30, 0.08), (3, 25, 0.6), (4, 3, 0.0)])
+def test_greedy_knock_out_is_sequential(spark, seed, width, share):
+    draw = random.Random(seed)
+    edges = {(x, y) for x in range(width) for y in range(x + 1, width) if draw.random() < share}
+    rows = [(f"f{x}", x, f"f{y}", y, 0.9) for x, y in sorted(edges)]
+    cut = spark.createDataFrame(rows, "x string, x_ord int, y string, y_ord int, r double")
+    got = {r.field: r.knocked_out_by for r in knockout.greedy_knock_outs(cut).collect()}
+    assert got == greedy_by_hand(edges)
+    fallen = set(got)
+    # one of every pair falls, and what falls knocks nothing out
+    assert all(f"f{x}" in fallen or f"f{y}" in fallen for x, y in edges) and not fallen & set(got.values())
+
+
+def test_greedy_knock_out_along_a_chain(spark):
+    rows = [(f"f{i}", i, f"f{i + 1}", i + 1, 0.9) for i in range(9)]
+    cut = spark.createDataFrame(rows, "x string, x_ord int, y string, y_ord int, r double")
+    assert {r.field for r in knockout.greedy_knock_outs(cut).collect()} == {f"f{i}" for i in range(1, 10, 2)}
+    assert {r.field for r in knockout.knock_outs(cut).collect()} == {f"f{i}" for i in range(1, 10)}
+
+
+def test_override_table(spark):
+    table = spark.createDataFrame([("a", "KEEP"), ("b", "DROP"), ("c", "KEEP"), ("d", "DROP")], "field string, verdict string")
+    lists = spark.createDataFrame([("a", "KEEP", 2), ("a", "DROP", 1), ("b", "KEEP", 1), ("c", "KEEP", 3), ("c", "DROP", 3), ("z", "DROP", 1)], "field string, verdict string, priority int")
+    got = {r.field: r.final_verdict for r in knockout.overridden_by(table, lists).collect()}
+    assert got == {"a": "DROP", "b": "KEEP", "c": "DROP", "d": "DROP"}

@@ -1,10 +1,10 @@
 """All-relevant selection and recursive elimination over Spark ML forests.
 
 Forests are trained by Spark as they are. What comes back to the driver per fit is one importance per
-column; the data stays in stage tables in the shared folder, which every fit re-reads.
+column. The rows are placed once (:func:`fits.placed`) and kept; fits that do not wait for one another run side by side.
 
-Importance is the impurity importance Spark offers, not the out-of-bag permutation score of other
-implementations, so ranks are comparable within this library only.
+Importance is Spark's impurity importance, or with ``importance="permutation"`` the loss that held-out rows gain when
+a column is permuted, mean over spread of the trees (:mod:`broadloom.operators.permutation`).
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.functions import cells
-from broadloom.operators import importance as imp
+from broadloom.operators import dictionary, fits, importance as imp, permutation
 from broadloom.operators.joins import assert_unique
 from broadloom.operators.selectors import col
-from broadloom.operators.shadows import ROWS_PER_BLOCK, block_count, shadow_blocks, shadow_name, with_shadows
+from broadloom.operators.shadows import ROWS_PER_BLOCK, block_count, block_rows, shadow_arrays, shadow_blocks, shadow_name
 from broadloom.operators.splitting import fold
 from broadloom.session import shared_path, stage
 
@@ -33,7 +33,10 @@ LEAST_SHADOWS = 5
 
 @dataclass(frozen=True)
 class Forest:
-    """Forest settings. A 0/1 number is a numeric response (regression); classes need ``classes=True``."""
+    """Forest settings. A 0/1 number is a numeric response (regression); classes need ``classes=True``.
+
+    Several trees see a bag of the rows each, a single tree all rows.
+    """
 
     classes: bool = False
     trees: int = 50
@@ -42,12 +45,18 @@ class Forest:
     seed: int = 12345
     #: Rows of a training partition; part of the result, as forests bag by partition.
     rows_per_partition: int = 50_000
+    #: ``impurity``, or ``permutation`` on the third of the rows that a run then holds out.
+    importance: str = "impurity"
+
+    def __post_init__(self):
+        if self.importance not in ("impurity", "permutation"):
+            raise ValueError(f"unknown importance: {self.importance}")
 
     def estimator(self, run: int):
         make = RandomForestClassifier if self.classes else RandomForestRegressor
         return make(
             featuresCol="features", labelCol="label", numTrees=self.trees, maxDepth=self.depth,
-            maxBins=self.bins, seed=self.seed + run, cacheNodeIds=False,
+            maxBins=self.bins, seed=self.seed + run, cacheNodeIds=False, bootstrap=self.trees > 1,
         )
 
 
@@ -56,14 +65,14 @@ def model_table(df: DataFrame, key: str, target: str, fields: Sequence[str], cla
     unknown = [f for f in fields if f in (key, target)]
     if unknown:
         raise ValueError(f"key and target cannot be features: {unknown}")
-    if classes:
-        indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc")
-        df = indexer.fit(df.select(col(target))).transform(df)
-        label = F.col("label")
-    else:
-        label = col(target).cast("double")
     filled = [_filled(f).alias(f) for f in fields]
-    return df.select(col(key), label.alias("label"), *filled)
+    if not classes:
+        return df.select(col(key), col(target).cast("double").alias("label"), *filled)
+    # classes are numbered in name order by a joined dictionary, whatever their number
+    rows = stage(df.select(col(key), col(target).cast("string").alias("__class"), *filled), "classed")
+    numbered = dictionary.with_level(rows, "__class", dictionary.levels(rows, ["__class"]), "label")
+    missing = F.raise_error(F.lit(f"a missing class in {target}")).cast("double")
+    return numbered.select(col(key), F.coalesce(F.col("label").cast("double"), missing).alias("label"), *[col(f) for f in fields])
 
 
 def _filled(field: str):
@@ -71,25 +80,28 @@ def _filled(field: str):
     return F.coalesce(value, F.lit(float(cells.MISSING_NUMBER)))
 
 
-def _placed(rows: DataFrame, columns: Sequence[str], per_partition: int) -> DataFrame:
-    """Rows dealt by a hash of their values and sorted by it, into partitions whose number follows the row count.
-
-    Forests bag by partition, so a fit must not depend on the cores or the packing of files. Rows with equal
-    hashes are equal in all that the fit sees.
-    """
-    place = F.xxhash64(*[col(c) for c in columns]).alias("__place")
-    parts = -(-rows.count() // per_partition) or 1
-    placed = rows.select(*[col(c) for c in columns], place).repartition(parts, "__place")
-    return placed.sortWithinPartitions("__place").drop("__place")
+def _fitted(forest: Forest, rows: DataFrame, inputs: Sequence[str], run: int):
+    """A forest over placed rows; ``label`` is the response."""
+    assembled = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(rows)
+    return forest.estimator(run).fit(assembled.select("label", "features"))
 
 
 def _importances(forest: Forest, rows: DataFrame, inputs: Sequence[str], run: int):
-    placed = _placed(rows, ["label", *inputs], forest.rows_per_partition)
-    assembled = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(placed)
-    model = forest.estimator(run).fit(assembled.select("label", "features"))
+    model = _fitted(forest, rows, inputs, run)
     return model, dict(zip(inputs, model.featureImportances.toArray().tolist()))
 
 
+def _block_importances(forest: Forest, arrays: DataFrame, inputs: Sequence[str], run: int) -> dict[str, float]:
+    """Importances of a run over array blocks with a ``label``: all rows by impurity, or two thirds of them to train and
+    the rest to permute."""
+    if forest.importance == "impurity":
+        return _importances(forest, block_rows(arrays.drop(permutation.POSITION)), inputs, run)[1]
+    model = _fitted(forest, block_rows(arrays).where(permutation.trained(run)), inputs, run)
+    trees = permutation.trees_of(model)
+    increases = permutation.loss_increases(arrays, "label", inputs, trees, run, forest.seed, forest.classes)
+    return permutation.importances(increases, inputs, len(trees))
+
+
 @dataclass
 class Relevance:
     """Result of an all-relevant selection: the importance history and one row per field."""
@@ -106,47 +118,67 @@ def all_relevant(
     max_runs: int = 100,
     forest: Forest = Forest(),
     rows_per_block: int = ROWS_PER_BLOCK,
+    slots: int = fits.SLOTS,
 ) -> Relevance:
     """Compare every field with shuffled copies of all fields over repeated forests.
 
     A field scores a hit when it beats the best shadow of a run. Two binomial tests, corrected for the
     number of fields, confirm or reject it; rejected fields leave the next forests. At most
-    ``max_runs - 1`` forests are grown. With few runs and many fields nothing can be confirmed: the
-    result is then a ranking, and ``decision`` is only a column.
+    ``max_runs - 1`` forests are grown, ``slots`` at once where none of them can wait for a verdict of another.
+    With few runs and many fields nothing can be confirmed: the result is then a ranking, and ``decision`` is
+    only a column.
     """
-    table = model_table(df, key, target, fields, forest.classes)
-    blocks = _staged_blocks(table, key, ["label", *fields], forest.seed, rows_per_block)
-    return _relevance(blocks, "label", list(fields), max_runs, forest)
+    table = assert_unique(stage(model_table(df, key, target, fields, forest.classes), "features"), key)
+    blocks = _placed_blocks(table, key, ["label", *fields], forest, rows_per_block)
+    try:
+        return _relevance(blocks, "label", list(fields), max_runs, forest, slots)
+    finally:
+        blocks.unpersist()
 
 
-def _staged_blocks(table: DataFrame, key: str, columns: Sequence[str], seed: int, rows_per_block: int) -> DataFrame:
-    staged = assert_unique(stage(table, "features"), key)  # a repeated key would make one block as large
+def _placed_blocks(staged: DataFrame, key: str, columns: Sequence[str], forest: Forest, rows_per_block: int) -> DataFrame:
+    """Shadow blocks of a stage with unique keys (a repeated key would make one block as large), placed and kept."""
     blocks = block_count(staged.count(), rows_per_block)
-    return stage(shadow_blocks(staged, key, columns, blocks, seed), "blocks")
+    made = stage(shadow_blocks(staged, key, columns, blocks, forest.seed), "blocks")
+    return fits.placed(made, "block", max(1, forest.rows_per_partition // rows_per_block))
 
 
-def _relevance(blocks: DataFrame, label: str, fields: list[str], max_runs: int, forest: Forest) -> Relevance:
+def _certain_runs(hit_count: dict[str, int], done: int, tentative: list[str], fields: int) -> int:
+    """Runs that come before any tentative field can be decided, whatever their hits; they need not wait for each other."""
+    ahead = 1
+    while not any(imp.decide(hit_count[f] + h, done + ahead, fields) != "Tentative" for f in tentative for h in (0, ahead)):
+        ahead += 1
+    return ahead
+
+
+def _relevance(blocks: DataFrame, label: str, fields: list[str], max_runs: int, forest: Forest, slots: int = 1) -> Relevance:
+    spark = blocks.sparkSession
     hit_count = dict.fromkeys(fields, 0)
     decided = dict.fromkeys(fields, "Tentative")
     history: list[tuple[int, str, float, bool]] = []
     done = 0
-    for run in range(1, max_runs):
+    while done < max_runs - 1:
         active = [f for f in fields if decided[f] != "Rejected"]
-        if not active or "Tentative" not in decided.values():
+        tentative = [f for f in fields if decided[f] == "Tentative"]
+        if not active or not tentative:
             break
-        copies = [run + k * max_runs for k in range(math.ceil(LEAST_SHADOWS / len(active)))]
-        shadows = [shadow_name(f, c) for c in copies for f in active]
-        rows = with_shadows(blocks, [label, *active], active, copies, forest.seed).withColumnRenamed(label, "label")
-        _, score = _importances(forest, rows, active + shadows, run)
-        best = max(score[s] for s in shadows)
-        history += [(run, f, score[f], False) for f in active] + [(run, s, score[s], True) for s in shadows]
-        done = run
-        for f in active:
-            hit_count[f] += score[f] > best
-        for f in active:
-            if decided[f] == "Tentative":
-                decided[f] = imp.decide(hit_count[f], done, len(fields))
-    spark = blocks.sparkSession
+        ahead = min(_certain_runs(hit_count, done, tentative, len(fields)), max_runs - 1 - done)
+
+        def score(run: int) -> tuple[list[str], dict[str, float]]:
+            copies = [run + k * max_runs for k in range(math.ceil(LEAST_SHADOWS / len(active)))]
+            shadows = [shadow_name(f, c) for c in copies for f in active]
+            arrays = shadow_arrays(blocks, [label, *active], active, copies, forest.seed, permutation.POSITION).withColumnRenamed(label, "label")
+            return shadows, _block_importances(forest, arrays, active + shadows, run)
+
+        runs = range(done + 1, done + ahead + 1)
+        for run, (shadows, found) in zip(runs, fits.concurrently(spark, [lambda run=run: score(run) for run in runs], slots)):
+            best = max(found[s] for s in shadows)
+            history += [(run, f, found[f], False) for f in active] + [(run, s, found[s], True) for s in shadows]
+            for f in active:
+                hit_count[f] += found[f] > best
+        done += ahead
+        for f in tentative:
+            decided[f] = imp.decide(hit_count[f], done, len(fields))
     table = spark.createDataFrame(history, imp.HISTORY)
     words = spark.createDataFrame([(f, decided[f]) for f in fields], "field string, decision string")
     stats = imp.statistics(imp.hits(table), max(done, 1))
@@ -162,35 +194,46 @@ def chunked_relevance(
     forest: Forest = Forest(),
     rows_per_block: int = ROWS_PER_BLOCK,
     folder: str | None = None,
+    slots: int = fits.SLOTS,
 ) -> DataFrame:
     """All-relevant selection per numeric target and column chunk: ``(target, chunk, field, …)``.
 
-    The blocks of a chunk hold all targets, so the data is exchanged once per chunk, not once per
-    target and run. With ``folder`` each result is saved as it is found, and a job that starts again
-    with the same folder and settings goes on with what is missing; other results there are left alone.
+    ``df`` is run once, into a stage with all columns; the blocks of a chunk hold its columns and all targets, so the
+    data is exchanged once per chunk, not once per target and run. Targets and chunks are independent, ``slots`` of
+    them run at once. With ``folder`` each result is saved as it is found, and a job that starts again with the same
+    folder and settings goes on with what is missing; other results there are left alone.
     """
     spark, targets = df.sparkSession, list(targets)
     folder = folder or shared_path(spark, "relevance")
     settings = {(t, c): _settings(t, c, list(f), max_runs, forest, rows_per_block) for t in targets for c, f in chunks.items()}
     done = _saved(spark, folder)
-    for chunk, fields in sorted(chunks.items()):
-        open_targets = [t for t in targets if settings[t, chunk] not in done]
-        if not open_targets:
-            continue
-        labels = [col(t).cast("double").alias(t) for t in targets]
-        numbers = df.select(col(key), *labels, *[_filled(f).alias(f) for f in fields])
-        blocks = _staged_blocks(numbers, key, [*targets, *fields], forest.seed, rows_per_block)
-        for target in open_targets:
-            found = _relevance(blocks, target, list(fields), max_runs, forest).fields
-            labelled = found.select(F.lit(target).alias("target"), F.lit(chunk).alias("chunk"), F.lit(settings[target, chunk]).alias("settings"), "*")
-            labelled.coalesce(1).write.mode("append").parquet(folder)  # one row per field
+    missing = [(c, t) for c in sorted(chunks) for t in targets if settings[t, c] not in done]
+    if missing:
+        every = list(dict.fromkeys(f for c, _ in missing for f in chunks[c]))
+        labels = [col(t).cast("double").alias(t) for t in targets if t not in every]
+        numbers = df.select(col(key), *labels, *[_filled(f).alias(f) for f in every])
+        staged = assert_unique(stage(numbers, "features"), key)
+        open_chunks = dict.fromkeys(c for c, _ in missing)
+        blocks = {c: _placed_blocks(staged, key, list(dict.fromkeys([*targets, *chunks[c]])), forest, rows_per_block) for c in open_chunks}
+
+        def select(chunk: int, target: str) -> None:
+            found = _relevance(blocks[chunk], target, list(chunks[chunk]), max_runs, forest).fields
+            labelled = found.select(F.lit(target).alias("target"), F.lit(chunk).alias("chunk"), "*")
+            # one row per field; a folder of its own, as jobs end side by side
+            labelled.coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings={settings[target, chunk]}")
+
+        try:
+            fits.concurrently(spark, [lambda c=c, t=t: select(c, t) for c, t in missing], slots)
+        finally:
+            for b in blocks.values():
+                b.unpersist()
     asked = F.col("settings").isin(sorted(settings.values()))
     return spark.read.parquet(folder).where(asked).drop("settings")
 
 
 def _settings(target: str, chunk: int, fields: list[str], max_runs: int, forest: Forest, rows_per_block: int) -> str:
     """A digest of all that a saved result depends on, besides the data."""
-    return hashlib.sha256(repr((target, chunk, fields, max_runs, forest, rows_per_block)).encode()).hexdigest()
+    return "s" + hashlib.sha256(repr((target, chunk, fields, max_runs, forest, rows_per_block)).encode()).hexdigest()
 
 
 def _saved(spark, folder: str) -> set[str]:
@@ -220,33 +263,45 @@ def recursive_elimination(
     folds: int = 5,
     repeats: int = 5,
     forest: Forest = Forest(),
+    slots: int = fits.SLOTS,
 ) -> Elimination:
     """Repeated cross-validation over subset sizes.
 
     In each resample a forest on all fields ranks them, and forests on the best ``size`` fields are
     scored on the held-out fold. The size with the best mean score wins; its fields are the best by
-    mean importance over the resamples.
+    mean importance over the resamples. Ranks are by impurity.
+
+    The rows are exchanged once for all resamples: they carry their fold of every repeat, and a fit filters them
+    where they lie. Resamples are independent, ``slots`` of them run at once.
     """
     fields = list(fields)
-    table = stage(model_table(df, key, target, fields, forest.classes), "features")
-    steps = sorted({s for s in sizes if s < len(fields)} | {len(fields)}, reverse=True)
-    scores: list[tuple[int, int, int, str, float]] = []
-    ranks: dict[str, float] = dict.fromkeys(fields, 0.0)
-    for repeat in range(repeats):
-        number = fold(col(key), folds, forest.seed, repeat)
-        for held in range(folds):
-            train, test = table.where(number != held), table.where(number == held)
-            ordered = fields
-            for size in steps:
-                used = ordered[:size]
-                model, found = _importances(forest, train, used, repeat * folds + held)
-                if size == len(fields):
-                    ordered = sorted(fields, key=lambda f: (-found[f], f))
-                    ranks = {f: ranks[f] + found[f] for f in fields}
-                seen = model.transform(VectorAssembler(inputCols=used, outputCol="features").transform(test))
-                for metric, value in _scores(seen.select("label", "prediction"), forest.classes).items():
-                    scores.append((repeat, held, size, metric, value))
     spark = df.sparkSession
+    numbers = [fold(col(key), folds, forest.seed, r).alias(f"__fold_{r}") for r in range(repeats)]
+    table = assert_unique(stage(model_table(df, key, target, fields, forest.classes), "features"), key)
+    kept = fits.placed(table.select("*", *numbers), key, forest.rows_per_partition)
+    steps = sorted({s for s in sizes if s < len(fields)} | {len(fields)}, reverse=True)
+
+    def resample(repeat: int, held: int) -> tuple[dict[str, float], list[tuple[int, int, int, str, float]]]:
+        number = F.col(f"__fold_{repeat}")
+        train, test = kept.where(number != held), kept.where(number == held)
+        ordered, ranks, scores = fields, {}, []
+        for size in steps:
+            used = ordered[:size]
+            model, found = _importances(forest, train, used, repeat * folds + held)
+            if size == len(fields):
+                ordered, ranks = sorted(fields, key=lambda f: (-found[f], f)), found
+            seen = model.transform(VectorAssembler(inputCols=used, outputCol="features").transform(test))
+            for metric, value in _scores(seen.select("label", "prediction"), forest.classes).items():
+                scores.append((repeat, held, size, metric, value))
+        return ranks, scores
+
+    pairs = [(r, h) for r in range(repeats) for h in range(folds)]
+    try:
+        done = fits.concurrently(spark, [lambda r=r, h=h: resample(r, h) for r, h in pairs], slots)
+    finally:
+        kept.unpersist()
+    scores = [s for _, found in done for s in found]
+    ranks = {f: sum(found[f] for found, _ in done) for f in fields}
     resamples = spark.createDataFrame(scores, "repeat int, fold int, size int, metric string, value double")
     profile = resamples.groupBy("size", "metric").agg(F.avg("value").alias("mean"), F.stddev("value").alias("sd"))
     lead = "Accuracy" if forest.classes else "RMSE"

@@ -35,7 +35,7 @@ def shadow_blocks(df: DataFrame, key: str, columns: Iterable[str], blocks: int,
     return dealt.groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
-def offset_draw(seed: int, run: int, field: str) -> int:
+def offset_draw(seed: int, run: int | str, field: str) -> int:
     """The number an offset is derived from: the first 32 bits of md5 of seed, run and field."""
     return int(hashlib.md5(f"{seed}|{run}|{field}".encode()).hexdigest()[:8], 16)
 
@@ -44,10 +44,11 @@ def shadow_name(field: str, run: int) -> str:
     return f"shadow_{run}_{field}"
 
 
-def with_shadows(
-    blocks: DataFrame, keep: Sequence[str], fields: Sequence[str], runs: Iterable[int], seed: int
+def shadow_arrays(
+    blocks: DataFrame, keep: Sequence[str], fields: Sequence[str], runs: Iterable[int], seed: int, position: str | None = None
 ) -> DataFrame:
-    """Rows again: the ``keep`` columns and, for each run and field, a rotated copy."""
+    """One row per block with an array per column: the ``keep`` columns and, for each run and field, a rotated copy;
+    with ``position`` also the places of the rows in their block."""
     runs = list(runs)
     q = quoted_name
     arrays = blocks.selectExpr(*[f"rows.{q(n)} AS {q(n)}" for n in dict.fromkeys([*keep, *fields])], "size(rows) AS __size")
@@ -58,5 +59,17 @@ def with_shadows(
         turned = f"concat(slice({q(field)}, {offset} + 1, __size - {offset}), slice({q(field)}, 1, {offset}))"
         return f"{turned} AS {q(shadow_name(field, run))}"
 
-    whole = arrays.selectExpr(*[q(n) for n in keep], *[rotated(r, f) for r in runs for f in fields])
-    return whole.selectExpr(f"inline(arrays_zip({', '.join(q(n) for n in whole.columns)}))")
+    places = [f"sequence(0, __size - 1) AS {q(position)}"] if position else []
+    return arrays.selectExpr(*[q(n) for n in keep], *[rotated(r, f) for r in runs for f in fields], *places)
+
+
+def block_rows(arrays: DataFrame) -> DataFrame:
+    """The rows of array blocks."""
+    return arrays.selectExpr(f"inline(arrays_zip({', '.join(quoted_name(n) for n in arrays.columns)}))")
+
+
+def with_shadows(
+    blocks: DataFrame, keep: Sequence[str], fields: Sequence[str], runs: Iterable[int], seed: int
+) -> DataFrame:
+    """Rows again: the ``keep`` columns and, for each run and field, a rotated copy."""
+    return block_rows(shadow_arrays(blocks, keep, fields, runs, seed))

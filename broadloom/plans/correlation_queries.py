@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
-from broadloom.operators import correlation, encoding, joins, knockout, manifest, selectors
+from broadloom.operators import correlation, dictionary, encoding, joins, knockout, manifest, selectors
 from broadloom.plans import features as ft, flows, twin_sql as sql
 from broadloom.plans.registry import query
 from broadloom.session import shared_path, stage
@@ -290,8 +289,8 @@ def manifest_projection(spark, folder):
 def label_index(spark, folder):
     """A class as a number, in name order."""
     orders = ft.table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
-    indexer = StringIndexer(inputCol="o_orderpriority", outputCol="label", stringOrderType="alphabetAsc")
-    return indexer.fit(orders).transform(orders)
+    numbered = dictionary.with_level(orders, "o_orderpriority", dictionary.levels(orders, ["o_orderpriority"]), "label")
+    return numbered.withColumn("label", F.col("label").cast("double"))
 
 
 @query(
@@ -312,3 +311,53 @@ def wide_corr_pairs(spark, folder):
     """Every pair of the wide table with its correlation and the rows behind it."""
     pairs = correlation.correlation_pairs(ft.part_features(spark, folder), ft.WIDE_FIELDS)
     return pairs.where("n > 0").select("x", "y", F.round("r", 6).alias("r"), "n")
+
+
+@query("wide_corr_tiles", f"WITH {sql.wide_pairs()} SELECT x, y, round(r, 6) + 0.0 AS r, n FROM pairs")
+def wide_corr_tiles(spark, folder):
+    """The pairs of the wide table by tiles of 50 columns: 10 pairs of tiles, each reading its own columns."""
+    pairs = correlation.correlation_pairs(ft.part_features(spark, folder), ft.WIDE_FIELDS, strategy="gram", tile=50)
+    return pairs.where("n > 0").select("x", "y", F.round("r", 6).alias("r"), "n")
+
+
+_GREEDY = 0.4
+
+
+@query(
+    "wide_corr_greedy",
+    f"""WITH RECURSIVE {sql.wide_pairs()}, cut AS (SELECT * FROM pairs WHERE abs(round(r, 9)) >= {_GREEDY}),
+    g(ord, kept) AS (
+      SELECT -1, CAST([] AS INTEGER[])
+      UNION ALL
+      SELECT ord + 1, CASE WHEN EXISTS (SELECT 1 FROM cut c WHERE c.y_ord = ord + 1 AND list_contains(kept, c.x_ord)) THEN kept
+        ELSE list_append(kept, ord + 1) END
+      FROM g WHERE ord + 1 < {len(ft.WIDE_FIELDS)}),
+    standing AS (SELECT unnest(kept) AS x_ord FROM g WHERE ord = {len(ft.WIDE_FIELDS) - 1})
+    SELECT y AS field, arg_min(x, c.x_ord) AS knocked_out_by, round(arg_min(r, c.x_ord), 6) + 0.0 AS r
+    FROM cut c JOIN standing s ON s.x_ord = c.x_ord WHERE c.y_ord NOT IN (SELECT x_ord FROM standing) GROUP BY y""",
+)
+def wide_corr_greedy(spark, folder):
+    """The greedy knock-out over the wide table: what falls knocks nothing out."""
+    pairs = stage(correlation.correlation_pairs(ft.part_features(spark, folder), ft.WIDE_FIELDS), "pairs")
+    cut = pairs.where(F.abs(F.round("r", 9)) >= _GREEDY)
+    return knockout.greedy_knock_outs(cut).select("field", "knocked_out_by", F.round("r", 6).alias("r"))
+
+
+@query(
+    "verdict_override_table",
+    f"""WITH {sql.pairs(sql.ORDER_FEATURES, NUMBERS)}, {sql.verdicts(0.85)},
+    named AS (SELECT n_name, min(n_nationkey) AS priority FROM nation GROUP BY n_name),
+    lists AS (SELECT v.field, CASE WHEN priority % 2 = 0 THEN 'DROP' ELSE 'KEEP' END AS verdict, priority
+      FROM verdicts v JOIN named ON priority % {len(NUMBERS)} = v.ordinal),
+    first AS (SELECT field, arg_min(verdict, (priority, verdict)) AS listed FROM lists GROUP BY field)
+    SELECT v.field, v.verdict, coalesce(listed, v.verdict) AS final_verdict FROM verdicts v LEFT JOIN first USING (field)""",
+)
+def verdict_override_table(spark, folder):
+    """Overrides as a table with priorities, several entries for a field."""
+    df = ft.order_features(spark, folder)
+    out = knockout.knock_outs(knockout.correlated(correlation.correlation_pairs(df, NUMBERS)))
+    judged = stage(knockout.verdicts(_catalog(spark), out), "verdicts")
+    nation = ft.table(spark, folder, "nation").groupBy("n_name").agg(F.min("n_nationkey").alias("priority"))
+    listed = F.when(F.col("priority") % 2 == 0, "DROP").otherwise("KEEP").alias("verdict")
+    lists = judged.select("field", "ordinal").join(nation, F.col("priority") % len(NUMBERS) == F.col("ordinal")).select("field", listed, "priority")
+    return knockout.overridden_by(judged, lists).select("field", "verdict", "final_verdict")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from broadloom.functions import cells
 from broadloom.operators import binning, cleaning, correlation, encoding, joins, knockout, manifest, ranking
-from broadloom.operators.forests import Forest, chunked_relevance
+from broadloom.operators.forests import Forest, all_relevant, chunked_relevance
 from broadloom.operators.importance import first_listed
 from broadloom.operators.selectors import (
     Selector, all_of, any_of, col, column_values, contains, ends_with, field_catalog,
@@ -155,3 +155,29 @@ def ranked_selection(
         chunks.setdefault(row["chunk"], []).append(row["field"])
     stats = chunked_relevance(df, key, targets, chunks, max_runs, forest)
     return first_listed(stats.join(typed.select("field", "type"), "field", "left"), targets, best)
+
+
+def final_selection(
+    df: DataFrame,
+    key: str,
+    target: str,
+    listed: DataFrame,
+    merged: Mapping[str, Iterable[str]] | None = None,
+    rows: Column | None = None,
+    max_runs: int = presets.FINAL_RUNS,
+    forest: Forest = Forest(classes=True),
+    rules: Iterable[tuple[str, str, str]] = presets.TAXONOMY,
+) -> DataFrame:
+    """The last step of a selection: ``(field, type, decision, mean_imp, …, norm_hits)``, best median first.
+
+    ``listed`` is a manifest (``position, field``): its columns are the candidates, key and target left out. ``merged``
+    joins classes of the target, ``rows`` keeps the rows of one group; the forests see what remains. The statistics come
+    with the taxonomy of the fields.
+    """
+    kept = minus_names(column_values(listed.orderBy("position"), "field"), [key, target])
+    df = pick(df if rows is None else df.where(rows), key, target, all_of(kept))
+    for label, members in (merged or {}).items():
+        df = df.withColumn(target, cells.merged_class(col(target), members, label))
+    found = all_relevant(df, key, target, kept, max_runs, forest).fields
+    typed = ranking.taxonomy(field_catalog(df, *kept).select("ordinal", "field"), rules).select("field", "type")
+    return found.join(typed, "field", "left").orderBy(F.desc_nulls_last("median_imp"), "field")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from broadloom.functions import cells
-from broadloom.operators import binning, cleaning, encoding, joins, ranking, selectors as s
+from broadloom.operators import binning, cleaning, dictionary, encoding, joins, profiles, ranking, selectors as s
 from broadloom.operators.binning import KEEP, BinRule
 from broadloom.plans import features as ft, flows, twin_sql as sql
 from broadloom.plans.registry import query
@@ -78,21 +78,24 @@ def reordered_columns(spark, folder):
     return s.pick(s.without(s.alphabetical(df), "o_orderdate"), "o_orderkey", s.everything())
 
 
+_WORDS = ["o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name", "r_name"]
+
+
 @query(
     "field_catalog_levels",
     "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{f}')" for i, f in enumerate(["o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name"]))
+    + ", ".join(f"({i}, '{f}')" for i, f in enumerate(_WORDS))
     + ") c(ordinal, field) JOIN ("
     + " UNION ALL ".join(
         f"SELECT '{f}' AS field, 'string' AS type, count(DISTINCT {f}) AS levels FROM ({sql.ORDER_FEATURES})"
-        for f in ["o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name"]
+        for f in _WORDS
     )
     + ") USING (field)",
 )
 def field_catalog_levels(spark, folder):
     """The schema as a table, with the number of levels of its text fields."""
     df = ft.order_features(spark, folder)
-    words = s.minus_names(s.text().names(df), ["r_name"])
+    words = s.text().names(df)
     return s.field_catalog(df, *words).join(ranking.cardinality(df, words), "field")
 
 
@@ -688,3 +691,66 @@ def stage_roundtrip(spark, folder):
     """A stage table written to the shared folder and read back, columns pruned."""
     totals = stage(ft.line_totals(spark, folder), "lines")
     return totals.select(F.col("o_orderkey").alias("l_orderkey"), "line_cnt", F.round("price_sum", 4).alias("price_sum"))
+
+
+# --- dictionaries, profiles, text with line breaks ---
+
+_CODED = ["c_name", "c_mktsegment"]
+_LEVELS_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS var, val, row_number() OVER (ORDER BY val) - 1 AS level FROM (SELECT DISTINCT {f} AS val FROM customer WHERE {f} IS NOT NULL)"
+    for f in _CODED
+)
+
+
+@query("level_dictionary", _LEVELS_SQL)
+def level_dictionary(spark, folder):
+    """The levels of two fields as a numbered table, one of them as wide as the table itself."""
+    return dictionary.levels(ft.table(spark, folder, "customer"), _CODED, part_rows=400)
+
+
+@query(
+    "sparse_codes",
+    f"""WITH levels AS ({_LEVELS_SQL}), sizes AS (SELECT var, count(*) AS n FROM levels GROUP BY var),
+    placed AS (SELECT l.var, val, level + CASE WHEN l.var = '{_CODED[0]}' THEN 0 ELSE (SELECT n FROM sizes WHERE var = '{_CODED[0]}') END AS c FROM levels l)
+    SELECT c_custkey, (SELECT CAST(sum(n) AS BIGINT) FROM sizes) AS width, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS columns
+    FROM customer LEFT JOIN placed ON (var = 'c_name' AND val = c_name) OR (var = 'c_mktsegment' AND val = c_mktsegment) GROUP BY c_custkey""",
+)
+def sparse_codes(spark, folder):
+    """One-hot rows of more levels than a plan has columns, as lists of column numbers."""
+    codes = dictionary.sparse_codes(ft.table(spark, folder, "customer"), "c_custkey", _CODED)
+    return codes.select("c_custkey", "width", F.array_join(F.transform("columns", lambda c: c.cast("string")), ",").alias("columns"))
+
+
+_PROFILED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+
+
+@query(
+    "merged_profile",
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS field, count(*) AS rows, count(*) FILTER ({f} IS NULL) AS missing, "
+        + (f"min(CAST({f} AS DOUBLE)) AS least, max(CAST({f} AS DOUBLE)) AS most, " if f != "l_returnflag" else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), ")
+        + "true AS close FROM lineitem"
+        for f in _PROFILED
+    ),
+)
+def merged_profile(spark, folder):
+    """Profiles stored per group of rows, merged without reading the rows again; the distinct counts are within 4 %."""
+    lines = ft.table(spark, folder, "lineitem")
+    stored = stage(profiles.profile(lines, _PROFILED, by="l_linestatus"), "profiles")
+    exact = ranking.cardinality(lines, _PROFILED)
+    found = profiles.estimates(profiles.merged(stored)).join(exact, "field")
+    close = (F.abs(F.col("distinct_estimate") - F.col("levels")) <= 0.04 * F.col("levels")).alias("close")
+    return found.select("field", "rows", "missing", "least", "most", close)
+
+
+@query(
+    "csv_line_breaks",
+    """SELECT n_nationkey AS key, replace(n_name, 'A', 'A' || chr(10)) AS name, n_name AS "name.1", n_regionkey AS "key.1" FROM nation""",
+)
+def csv_line_breaks(spark, folder):
+    """Quoted line breaks and repeated headers survive a round trip."""
+    nation = ft.table(spark, folder, "nation")
+    broken = F.replace(F.col("n_name"), F.lit("A"), F.lit("A\n"))
+    path = shared_path(spark, "broken")
+    files.write_csv(nation.select(F.col("n_nationkey").alias("key"), broken.alias("name"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("key")), path)
+    return files.read_csv(spark, path, line_breaks=True)

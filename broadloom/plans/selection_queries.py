@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window, functions as F
 
 from broadloom.functions import cells
@@ -136,7 +138,10 @@ def stacked_lists(spark, folder):
     return ranking.stacked([customer, supplier, part])
 
 
-_PROFILED = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_suppkey", "l_partkey", "l_orderkey"]
+_PROFILED = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus", "l_shipdate",
+]
 
 
 @query(
@@ -224,10 +229,11 @@ _PER_BLOCK = 1000
 
 
 def _blocks(spark, folder):
-    """Orders with lines in shadow blocks: features, and the order's totals as responses."""
+    """All orders in shadow blocks: features, and the order's totals as responses; missing totals are -1."""
     columns = [*FIELDS, RESPONSE, "net_sum"]
-    df = ft.order_features(spark, folder).where(F.col("has_line_flg") == 1)
-    kept = df.select(ft.ORDER_KEY, *[F.col(n).cast("double").alias(n) for n in columns])
+    missing = F.lit(float(cells.MISSING_NUMBER))
+    df = ft.order_features(spark, folder)
+    kept = df.select(ft.ORDER_KEY, *[F.coalesce(F.col(n).cast("double"), missing).alias(n) for n in columns])
     staged = stage(kept, "features")
     count = shadows.block_count(staged.count(), _PER_BLOCK)
     return shadows.shadow_blocks(staged, ft.ORDER_KEY, [ft.ORDER_KEY, *columns], count, SEED)
@@ -252,19 +258,24 @@ def _offset_sql(run, field, size):
     return f"({draw} % greatest({size} - 1, 1) + 1)"
 
 
-_SHADOW_SQL = f"""base AS (
-  SELECT * FROM ({sql.ORDER_FEATURES}) WHERE has_line_flg = 1),
+def _blocks_sql(source, columns, fields, runs):
+    """``placed`` rows in blocks, ``vals`` of the fields and their shadows ``moved`` for every run; no missing values."""
+    filled = ", ".join(f"coalesce(CAST({n} AS DOUBLE), {cells.MISSING_NUMBER}) AS {n}" for n in columns)
+    return f"""base AS (SELECT {ft.ORDER_KEY}, {filled} FROM ({source})),
 sized AS (
   SELECT *, CAST({_hash_int(ft.ORDER_KEY)} % ceil((SELECT count(*) FROM base) / {_PER_BLOCK}.0) AS INTEGER) AS block,
          {_hash(ft.ORDER_KEY, f"{SEED}.order")} AS h FROM base),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY block ORDER BY h) - 1 AS pos, count(*) OVER (PARTITION BY block) AS size
   FROM sized),
-vals AS ({" UNION ALL ".join(f"SELECT block, pos, size, '{f}' AS field, CAST({f} AS DOUBLE) AS v FROM placed" for f in FIELDS)}),
-runs AS (SELECT range AS run FROM range({RUNS[0]}, {RUNS[-1] + 1})),
+vals AS ({" UNION ALL ".join(f"SELECT block, pos, size, '{f}' AS field, {f} AS v FROM placed" for f in fields)}),
+runs AS (SELECT range AS run FROM range({runs[0]}, {runs[-1] + 1})),
 moved AS (
   SELECT r.run, v.field, v.block, (v.pos + v.size - {_offset_sql("r.run", "v.field", "v.size")}) % v.size AS pos, v.v
-  FROM vals v CROSS JOIN runs r),
+  FROM vals v CROSS JOIN runs r)"""
+
+
+_SHADOW_SQL = f"""{_blocks_sql(sql.ORDER_FEATURES, [*FIELDS, RESPONSE, "net_sum"], FIELDS, RUNS)},
 history AS (
   SELECT m.run, m.field, coalesce(abs(covar_pop(m.v, p.{RESPONSE})
            / nullif(stddev_pop(m.v) * stddev_pop(p.{RESPONSE}), 0)), 0) AS importance, true AS is_shadow
@@ -403,6 +414,174 @@ def combine_topk_first(spark, folder):
     return best.select("field", "target", F.col("list_no").cast("int").alias("list_no"), "rank", F.round("median_imp", 6).alias("median_imp"))
 
 
+# --- forests of one split, which SQL can follow ---
+
+STUMP_FIELDS = ["line_cnt", "ret_cnt", "open_cnt", "priority", "band", "status"]
+_STUMP_SQL = f"""SELECT *, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, CAST(floor(o_totalprice / 50000) AS INTEGER) AS band,
+  CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS status, CASE WHEN qty_sum > 100 THEN 1 ELSE 0 END AS busy
+  FROM ({sql.ORDER_FEATURES})"""
+_STUMP = forests.Forest(trees=1, depth=1, importance="permutation", seed=SEED)
+_STUMP_RUNS = 11
+
+
+def _stump_table(spark, folder):
+    """All orders with small whole numbers as fields and a 0/1 target."""
+    df = ft.order_features(spark, folder)
+    status = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0)
+    return df.select(
+        "*", F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
+        F.floor(F.col("o_totalprice") / 50000).cast("int").alias("band"), status.alias("status"),
+        F.when(F.col("qty_sum") > 100, 1).otherwise(0).alias("busy"),
+    )
+
+
+def _best_split_sql(train, group):
+    """``splits`` and ``best``: the split of each group with the largest gain, ``g = (field, shadow, cut, low, high)``."""
+    keys = f"{group}, field, is_shadow"
+    return f"""tally AS (SELECT {keys}, v, count(*) AS n, sum(label) AS s FROM {train} GROUP BY {keys}, v),
+splits AS (
+  SELECT *, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER t AS nt, sum(s) OVER t AS st, lead(v) OVER w AS nv FROM tally
+  WINDOW w AS (PARTITION BY {keys} ORDER BY v), t AS (PARTITION BY {keys})),
+best AS (
+  SELECT {group}, arg_max({{'field': field, 'shadow': is_shadow, 'cut': (v + nv) / 2, 'low': sl / nl, 'high': (st - sl) / (nt - nl)}},
+    sl * sl / nl + (st - sl) * (st - sl) / (nt - nl)) AS g FROM splits WHERE nv IS NOT NULL GROUP BY {group})"""
+
+
+@query(
+    "boruta_stumps",
+    f"""WITH {_blocks_sql(_STUMP_SQL, [*STUMP_FIELDS, "busy"], STUMP_FIELDS, range(1, _STUMP_RUNS))},
+    inputs AS (SELECT run, block, pos, field, v, false AS is_shadow FROM vals CROSS JOIN runs
+      UNION ALL SELECT run, block, pos, field, v, true FROM moved),
+    train AS (SELECT i.run, i.field, i.is_shadow, i.v, p.busy AS label FROM inputs i JOIN placed p ON p.block = i.block AND p.pos = i.pos
+      WHERE (i.pos + i.run) % 3 <> 0),
+    {_best_split_sql("train", "run")},
+    held AS (
+      SELECT i.run, i.block, i.v, p.busy AS label, b.g,
+        row_number() OVER (PARTITION BY i.run, i.block ORDER BY i.pos) - 1 AS spot, count(*) OVER (PARTITION BY i.run, i.block) AS m
+      FROM inputs i JOIN best b ON b.run = i.run AND b.g.field = i.field AND b.g.shadow = i.is_shadow
+      JOIN placed p ON p.block = i.block AND p.pos = i.pos WHERE (i.pos + i.run) % 3 = 0),
+    turned AS (
+      SELECT run, block, spot, label, g, v,
+        (spot + {_offset_sql("(run || '.held')", "CASE WHEN g.shadow THEN 'shadow_' || run || '_' || g.field ELSE g.field END", "m")}) % m AS other
+      FROM held),
+    losses AS (
+      SELECT a.run, a.g, CASE WHEN b.v <= a.g.cut THEN a.g.low ELSE a.g.high END AS moved_guess,
+        CASE WHEN a.v <= a.g.cut THEN a.g.low ELSE a.g.high END AS guess, a.label
+      FROM turned a JOIN held b ON b.run = a.run AND b.block = a.block AND b.spot = a.other),
+    won AS (SELECT run, any_value(g.field) AS field, any_value(g.shadow) AS is_shadow,
+      avg((moved_guess - label) * (moved_guess - label) - (guess - label) * (guess - label)) AS importance FROM losses GROUP BY run),
+    names(field) AS (VALUES {", ".join(f"('{f}')" for f in STUMP_FIELDS)}),
+    hits AS (
+      SELECT n.field, CASE WHEN NOT w.is_shadow AND w.field = n.field THEN w.importance ELSE 0 END AS importance,
+        CASE WHEN NOT w.is_shadow AND w.field = n.field AND w.importance > 0 THEN 1 ELSE 0 END AS hit FROM names n CROSS JOIN won w)
+    SELECT field, CASE sum(hit) WHEN 10 THEN 'Confirmed' WHEN 0 THEN 'Rejected' ELSE 'Tentative' END AS decision,
+      round(avg(importance), 6) AS mean_imp, round(median(importance), 6) AS median_imp, round(min(importance), 6) AS min_imp,
+      round(max(importance), 6) AS max_imp, round(sum(hit) / 10, 6) AS norm_hits
+    FROM hits GROUP BY field""",
+)
+def boruta_stumps(spark, folder):
+    """All-relevant selection with permutation importance, by forests of one tree with one split."""
+    found = forests.all_relevant(_stump_table(spark, folder), ft.ORDER_KEY, "busy", STUMP_FIELDS, _STUMP_RUNS, _STUMP).fields
+    rounded = [F.round(n, 6).alias(n) for n in ("mean_imp", "median_imp", "min_imp", "max_imp", "norm_hits")]
+    return found.select("field", "decision", *rounded)
+
+
+_STUMP_REPEATS = 2
+
+
+@query(
+    "rfe_stumps",
+    f"""WITH base AS (SELECT {ft.ORDER_KEY}, busy, {", ".join(f"coalesce(CAST({f} AS DOUBLE), {cells.MISSING_NUMBER}) AS {f}" for f in STUMP_FIELDS)} FROM ({_STUMP_SQL})),
+    folds AS ({" UNION ALL ".join(f"SELECT {ft.ORDER_KEY}, {r} AS repeat, {_hash_int(ft.ORDER_KEY, f'{SEED}.{r}')} % 5 AS fold FROM base" for r in range(_STUMP_REPEATS))}),
+    vals AS ({" UNION ALL ".join(f"SELECT {ft.ORDER_KEY}, '{f}' AS field, {f} AS v, busy AS label FROM base" for f in STUMP_FIELDS)}),
+    held(held) AS (SELECT range FROM range(5)),
+    train AS (SELECT repeat, held, field, false AS is_shadow, v, label FROM vals JOIN folds USING ({ft.ORDER_KEY}) JOIN held ON held <> fold),
+    {_best_split_sql("train", "repeat, held")},
+    seen AS (
+      SELECT f.repeat, f.fold, v.label, CASE WHEN v.v <= b.g.cut THEN b.g.low ELSE b.g.high END AS guess
+      FROM folds f JOIN best b ON b.repeat = f.repeat AND b.held = f.fold JOIN vals v ON v.{ft.ORDER_KEY} = f.{ft.ORDER_KEY} AND v.field = b.g.field),
+    scores AS (
+      SELECT sqrt(avg((guess - label) * (guess - label))) AS "RMSE", avg(abs(guess - label)) AS "MAE", pow(corr(guess, label), 2) AS "Rsquared"
+      FROM seen GROUP BY repeat, fold),
+    long AS (UNPIVOT scores ON "RMSE", "MAE", "Rsquared" INTO NAME metric VALUE value)
+    SELECT CAST(size AS INTEGER) AS size, metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd
+    FROM long CROSS JOIN (VALUES (1), ({len(STUMP_FIELDS)})) s(size) GROUP BY size, metric""",
+)
+def rfe_stumps(spark, folder):
+    """Recursive elimination by forests of one split: scores per subset size."""
+    found = forests.recursive_elimination(
+        _stump_table(spark, folder), ft.ORDER_KEY, "busy", STUMP_FIELDS, [1], presets.RESAMPLE_FOLDS, _STUMP_REPEATS, _STUMP
+    )
+    return found.profile.select("size", "metric", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+_CLASS_STUMP = forests.Forest(classes=True, trees=1, depth=1, importance="permutation", seed=SEED)
+_SIZES_SQL = f"""SELECT *, CASE WHEN qty_sum > 150 THEN 'LARGE' WHEN qty_sum > 75 THEN 'MEDIUM' WHEN qty_sum > 0 THEN 'SMALL' ELSE 'EMPTY' END AS size
+  FROM ({_STUMP_SQL})"""
+_STUMP_TYPES = (("contains", "_cnt", "COUNT"), ("starts", "band", "MONEY"))
+
+
+def _class_stumps_sql(source):
+    """The final selection by stumps: the split with the largest Gini gain, then wrong votes on permuted held-out rows."""
+    placed = _blocks_sql(source, STUMP_FIELDS, STUMP_FIELDS, range(1, _STUMP_RUNS)).replace(
+        f"base AS (SELECT {ft.ORDER_KEY}, ", f"base AS (SELECT {ft.ORDER_KEY}, CASE size WHEN 'SMALL' THEN 'LITTLE' WHEN 'EMPTY' THEN 'LITTLE' ELSE size END AS label, ", 1
+    )
+    return f"""WITH {placed},
+    inputs AS (SELECT run, block, pos, field, v, false AS is_shadow FROM vals CROSS JOIN runs
+      UNION ALL SELECT run, block, pos, field, v, true FROM moved),
+    tally AS (SELECT i.run, i.field, i.is_shadow, i.v, p.label, count(*) AS n FROM inputs i JOIN placed p ON p.block = i.block AND p.pos = i.pos
+      WHERE (i.pos + i.run) % 3 <> 0 GROUP BY ALL),
+    cuts AS (SELECT *, lead(v) OVER (PARTITION BY run, field, is_shadow ORDER BY v) AS nv FROM (SELECT DISTINCT run, field, is_shadow, v FROM tally)),
+    sides AS (
+      SELECT c.run, c.field, c.is_shadow, c.v, c.nv, t.label, coalesce(sum(n) FILTER (t.v <= c.v), 0) AS nl, coalesce(sum(n) FILTER (t.v > c.v), 0) AS nr
+      FROM cuts c JOIN tally t ON t.run = c.run AND t.field = c.field AND t.is_shadow = c.is_shadow WHERE c.nv IS NOT NULL GROUP BY ALL),
+    splits AS (
+      SELECT run, {{'field': field, 'shadow': is_shadow, 'cut': (v + nv) / 2, 'low': arg_max(label, nl), 'high': arg_max(label, nr)}} AS g,
+        sum(nl * nl) / sum(nl) + sum(nr * nr) / sum(nr) AS gain FROM sides GROUP BY run, field, is_shadow, v, nv),
+    best AS (SELECT run, arg_max(g, gain) AS g FROM splits GROUP BY run),
+    held AS (
+      SELECT i.run, i.block, i.v, p.label, b.g,
+        row_number() OVER (PARTITION BY i.run, i.block ORDER BY i.pos) - 1 AS spot, count(*) OVER (PARTITION BY i.run, i.block) AS m
+      FROM inputs i JOIN best b ON b.run = i.run AND b.g.field = i.field AND b.g.shadow = i.is_shadow
+      JOIN placed p ON p.block = i.block AND p.pos = i.pos WHERE (i.pos + i.run) % 3 = 0),
+    turned AS (
+      SELECT *, (spot + {_offset_sql("(run || '.held')", "CASE WHEN g.shadow THEN 'shadow_' || run || '_' || g.field ELSE g.field END", "m")}) % m AS other FROM held),
+    won AS (
+      SELECT a.run, any_value(a.g.field) AS field, any_value(a.g.shadow) AS is_shadow,
+        avg(CAST(CASE WHEN b.v <= a.g.cut THEN a.g.low ELSE a.g.high END <> a.label AS INTEGER)
+          - CAST(CASE WHEN a.v <= a.g.cut THEN a.g.low ELSE a.g.high END <> a.label AS INTEGER)) AS importance
+      FROM turned a JOIN held b ON b.run = a.run AND b.block = a.block AND b.spot = a.other GROUP BY a.run),
+    names(field, type) AS (VALUES {", ".join(f"('{f}', '{'COUNT' if '_cnt' in f else 'MONEY' if f == 'band' else 'OTHER'}')" for f in STUMP_FIELDS)}),
+    hits AS (
+      SELECT n.field, n.type, CASE WHEN NOT w.is_shadow AND w.field = n.field THEN w.importance ELSE 0 END AS importance,
+        CASE WHEN NOT w.is_shadow AND w.field = n.field AND w.importance > 0 THEN 1 ELSE 0 END AS hit FROM names n CROSS JOIN won w)
+    SELECT field, type, CASE sum(hit) WHEN 10 THEN 'Confirmed' WHEN 0 THEN 'Rejected' ELSE 'Tentative' END AS decision,
+      round(median(importance), 6) AS median_imp, round(sum(hit) / 10, 6) AS norm_hits
+    FROM hits GROUP BY field, type"""
+
+
+def _final_stumps(spark, folder, rows=None):
+    size = F.when(F.col("qty_sum") > 150, "LARGE").when(F.col("qty_sum") > 75, "MEDIUM").when(F.col("qty_sum") > 0, "SMALL").otherwise("EMPTY")
+    listed = spark.createDataFrame(list(enumerate([ft.ORDER_KEY, *STUMP_FIELDS])), "position int, field string")
+    found = flows.final_selection(
+        _stump_table(spark, folder).withColumn("size", size), ft.ORDER_KEY, "size", listed, {"LITTLE": ["SMALL", "EMPTY"]}, rows, _STUMP_RUNS, _CLASS_STUMP,
+        _STUMP_TYPES,
+    )
+    return found.select("field", "type", "decision", F.round("median_imp", 6).alias("median_imp"), F.round("norm_hits", 6).alias("norm_hits"))
+
+
+@query("final_selection_stumps", _class_stumps_sql(_SIZES_SQL))
+def final_selection_stumps(spark, folder):
+    """Manifest, projection, merged classes, multiclass selection and taxonomy as one flow, by forests of one split."""
+    return _final_stumps(spark, folder)
+
+
+@query("filtered_selection_stumps", _class_stumps_sql(f"SELECT * FROM ({_SIZES_SQL}) WHERE ret_cnt > 0"))
+def filtered_selection_stumps(spark, folder):
+    """The same flow on the rows of one group."""
+    return _final_stumps(spark, folder, F.col("ret_cnt") > 0)
+
+
 # --- forests: no SQL twin ---
 
 _FOREST = forests.Forest(trees=20, depth=5)
@@ -439,6 +618,14 @@ def boruta_chunks(spark, folder):
     )
 
 
+@query("boruta_permutation")
+def boruta_permutation(spark, folder):
+    """All-relevant selection for a 0/1 target by permutation importance on held-out rows."""
+    df = ft.order_features(spark, folder).withColumn("many_open", F.when(F.col("open_cnt") >= 3, 1).otherwise(0))
+    forest = replace(_FOREST, importance="permutation")
+    return forests.all_relevant(df, ft.ORDER_KEY, "many_open", _WIDE, presets.FINAL_RUNS, forest).fields
+
+
 @query("rfe_forest")
 def rfe_forest(spark, folder):
     """Recursive elimination for a 0/1 target: scores per subset size."""

@@ -13,6 +13,7 @@ names of the result's own columns, which raise an error.
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -275,10 +276,24 @@ def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 
 
 def coded_documents(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, digest, decode and digest again: the columns of query ``op1_byte_bpe``."""
-    encoded = encode_texts(documents.select("doc_id", "text"), ranks_path, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
-    decoded = decode_ids(encoded, ranks_path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode, digest, decode and digest again: the columns of query ``op1_byte_bpe``.
+
+    A batch is encoded and its ids decoded in one visit of a worker, and only the digests return.
+    """
+    ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder = text_encoder(ranks.value, pattern)
+        sizes, of_ids, of_bytes = [], [], []
+        for text in batch.column(1).to_pylist():
+            ids = encoder.encode(text or "")
+            sizes.append(len(ids) // 4)
+            of_ids.append(hashlib.sha256(ids).hexdigest())
+            of_bytes.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_batches(documents.select("doc_id", "text"), digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def token_rows(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:

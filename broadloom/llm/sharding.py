@@ -7,8 +7,8 @@ weight changes, only draws of the subtrees on the way to it change: rows move in
 nowhere else. A shard added as a region of its own takes rows only into itself.
 
 Everything is column expressions; rows are placed in the scan. Slots count the rows of a shard from 0 without gaps:
-rows are numbered in blocks of a shard (a hash of the key, about ``BLOCK_ROWS`` rows each) behind the sizes of the
-blocks before, so no task ever holds a whole shard.
+rows are numbered in blocks of a shard (a hash of key and text, about ``BLOCK_ROWS`` rows each) behind the sizes of the
+blocks before, so no task ever holds a whole shard, nor all rows of a key or of the null key.
 
 Null keys are a key of their own (``'null'``), null texts have no bytes and checksum 0. Repeated rows share the
 shard and get slots of their own. Extra columns are left out. An empty table gives an empty result.
@@ -103,9 +103,10 @@ def place(df: DataFrame, tree: Node, key: str = "doc_id", text: str = "text", gr
         (F.octet_length(whole_text(df, text)).cast("bigint") + ROW_BYTES).alias("size"),
         F.crc32(utf8(whole_text(df, text))).alias("text_crc32"),
         shard_of(name, tree).cast("int").alias("shard"),
-        F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 25, 8), 16, 10).cast("bigint"), F.lit(blocks)).alias("block"),
         (shard_of(name, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
     )
+    spread = F.md5(F.concat_ws("|", name, "text_crc32", "size").cast("binary"))
+    placed = placed.withColumn("block", F.pmod(F.conv(F.substring(spread, 25, 8), 16, 10).cast("bigint"), F.lit(blocks)))
     sizes = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "block", (F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))
     numbered = placed.withColumn("at", F.row_number().over(W.partitionBy("shard", "block").orderBy(key, "text_crc32", "size")) - 1)
@@ -165,7 +166,7 @@ new AS (
     JOIN node n ON n.name = c.grown WHERE a.parent = ''),
 blocks AS (SELECT greatest(1, CAST(ceil(count(*) / {BLOCK_ROWS * 24}.0) AS BIGINT)) AS n FROM documents)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(old.shard AS INTEGER) AS shard,
-    row_number() OVER (PARTITION BY old.shard ORDER BY CAST('0x' || substr(md5(base.key), 25, 8) AS BIGINT) % blocks.n, doc_id, text_crc32, size) - 1 AS slot,
+    row_number() OVER (PARTITION BY old.shard ORDER BY CAST('0x' || substr(md5(base.key || '|' || text_crc32 || '|' || size), 25, 8) AS BIGINT) % blocks.n, doc_id, text_crc32, size) - 1 AS slot,
     CAST(new.shard AS INTEGER) AS grown_shard
 FROM base JOIN old USING (key) JOIN new USING (key), blocks
 """

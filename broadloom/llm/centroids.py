@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.session import stage
+from broadloom.session import discard, stage
 
 #: Largest component in integers whose squared distances fit 64 bits at 64 components.
 LARGEST = 1 << 27
@@ -154,7 +154,8 @@ def clustered(vectors: DataFrame, centroids: list[list[int]], rounds: int, loose
     rows = stage(vectors, "vectors")
     now, lost, scanned = np.array(centroids, np.int64), None, []
     for turn in range(rounds + 1):
-        rows = stage(_assigned(rows, now, lost), "assigned")
+        before, rows = rows, stage(_assigned(rows, now, lost), "assigned")
+        discard(before)
         totals = [F.sum(F.col("v")[i].cast("bigint")).alias(f"s{i}") for i in range(now.shape[1])] if turn < rounds else []
         per = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.max("own").alias("far"), F.count_if("scanned").alias("k"), *totals).collect()
         scanned.append(sum(r["k"] for r in per))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from broadloom.llm.common import SIMILARITY_PERCENT, columns_of, free_name, map_batches
 from broadloom.llm.components import components
 from broadloom.llm.shingles import shingle_set, word_hashes
-from broadloom.session import releasing_shuffles, stage
+from broadloom.session import discard, releasing_shuffles, stage
 
 #: Texts up to which a token is rare.
 FREQUENT = 64
@@ -209,9 +209,10 @@ def _links(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     rows = shared_tokens(sketches, max(1, int(total) // GROUP_TOKENS + 1))
     # the classes' first texts stand for them, so copies do not count as other texts
     heads = classes.where("n > 0 and doc = cls").select("doc", "n").distinct()
-    index = stage(_stay(rows.select("doc", "token").join(heads, "doc")), "shared-tokens")
-    counts = index.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("first"))
-    index = stage(_stay(index.join(counts.where("df > 1"), "token")), "token-index")
+    shared = stage(_stay(rows.select("doc", "token").join(heads, "doc")), "shared-tokens")
+    counts = shared.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("first"))
+    index = first_index = stage(_stay(shared.join(counts.where("df > 1"), "token")), "token-index")
+    discard(sketches, shared)
     sizes = index.select("doc", "n").distinct()
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -219,7 +220,7 @@ def _links(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "tokens"])
 
     texts = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    sets = stage(map_batches(texts.join(sizes.select("doc"), "doc", "left_semi"), sets_of, "doc bigint, tokens binary"), "token-sets")
+    sets = all_sets = stage(map_batches(texts.join(sizes.select("doc"), "doc", "left_semi"), sets_of, "doc bigint, tokens binary"), "token-sets")
 
     enough = stage(repeated_texts(sets), "repeated-texts")
     index = index.drop("df", "first").join(enough, "doc")
@@ -227,6 +228,7 @@ def _links(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     index = stage(_stay(index.join(counts.where("df > 1"), "token")), "token-index")
     sizes = index.select("doc", "n").distinct()
     sets = stage(sets.join(sizes.select("doc"), "doc", "left_semi"), "token-sets")
+    discard(first_index, enough, all_sets)
 
     found, labels = None, sets.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
     for turn in range(HUB_ROUNDS):
@@ -236,6 +238,7 @@ def _links(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
         found = new if found is None else found.union(new)
         labels = components(found)
     more = stage(verified(cross_pairs(index, labels), sets), "links")
+    discard(index, sets)
     if not more.isEmpty():
         labels = components(found.union(more))
     return classes, labels

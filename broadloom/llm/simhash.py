@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from broadloom.llm.common import map_batches
 from broadloom.llm.components import components
-from broadloom.session import releasing_shuffles, stage
+from broadloom.session import discard, releasing_shuffles, stage
 
 DIFFERENCES = 4
 SHINGLE = 4
@@ -203,6 +203,7 @@ def print_components(prints: DataFrame) -> DataFrame:
     groups = -(-tiles.count() // GROUP_ROWS) or 1
     group = F.pmod(F.xxhash64("k", "p", "q"), F.lit(groups)).alias("g")
     more = stage(tiles.select("*", group).groupBy("g").applyInArrow(tile_links, "a bigint, b bigint").distinct(), "tile-links")
+    discard(members, tiles)
     return labels if more.isEmpty() else components(near.union(more))
 
 

@@ -17,9 +17,11 @@ hashes), the first ``t + m`` tokens of ``x`` hold at least ``m`` that the partne
 
 Equal sets are one class from the start. A few rounds verify each class against one other outside its component,
 that which comes first in most of its tokens, and join what links into components. Tokens within one component are then closed, texts with
-fewer than ``m`` open tokens leave again, and only candidates from different components are verified, so large groups
-of near copies cost a few comparisons per text and no link between components is lost. Only the narrow prefix tokens
-of all texts are exchanged, packed by hash ranges; whole texts once, for those that stayed.
+fewer than ``m`` open tokens leave again, and the combination index is built over what is open. Keys with the same first
+text form a neighbourhood, where only texts of different components are verified, in tiles of bounded size that give
+pairs of components: large groups of near copies cost a few comparisons per text, texts beside such a group are compared
+with its texts without a row per pair, and no link between components is lost. Only the narrow prefix tokens of all texts
+are exchanged, packed by hash ranges; whole texts once, for those that stayed.
 
 A null key has no component (null). Null and empty texts have no shingles and link with nothing. Rows with equal
 keys are one node: they share a component. Extra columns are left out by :func:`near_duplicates` and pass through
@@ -46,6 +48,8 @@ from broadloom.session import discard, releasing_shuffles, stage
 FREQUENT = 64
 #: Prefix tokens that a group of the counting exchange is planned to hold.
 GROUP_TOKENS = 250_000
+#: Tokens of a side of a tile in the last round.
+TILE_TOKENS = 250_000
 #: Rounds of leaving over open tokens; more rounds only save later work.
 LEAVING_ROUNDS = 2
 #: Rounds against one other text each, before all pairs between components; more rounds only save later work.
@@ -237,7 +241,7 @@ def _links(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
             break
         found = new if found is None else found.union(new)
         labels = components(found)
-    more = stage(verified(cross_pairs(index, labels), sets), "links")
+    more = cross_links(index, labels, sets)
     discard(index, sets)
     if not more.isEmpty():
         labels = components(found.union(more))
@@ -251,32 +255,86 @@ def _stay(index: DataFrame) -> DataFrame:
     return counted.where(f"k >= least(n, {t} + 2 + {t} div 4) - {t}").drop("k")
 
 
-def cross_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs of texts that are in different components so far and share a rare token or two frequent ones."""
-    at = index.join(labels, index["doc"] == labels["node"], "left").select("doc", "n", "r", "token", "df", F.coalesce("component", "doc").alias("c"))
+def cross_links(index: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: components so far that link, found among texts that share a rare token or two frequent ones.
+
+    Keys of the index with the same first text are one neighbourhood: the common tokens of a dense group have few first
+    texts, so its texts stand in few neighbourhoods, however many keys they share. In a neighbourhood the texts outside
+    its largest component are compared with all others, in tiles of at most about ``TILE_TOKENS`` tokens a side.
+    """
+    at = index.join(labels, index["doc"] == labels["node"], "left").select("doc", "n", "token", "df", F.coalesce("component", "doc").alias("c"))
     for _ in range(LEAVING_ROUNDS):
         at = stage(at, "labelled-index")
         spread = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
         at = _stay(at.join(spread, "token"))
-    often_of = F.count_if(F.col("df") > FREQUENT).over(W.partitionBy("doc"))
-    at = stage(at.withColumn("f", often_of), "open-index")
-    rare = at.where(F.col("df") <= FREQUENT).select(F.lit(-1).alias("band"), F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "doc", "n", "r", "f", "c")
+    at = stage(at, "open-index")
+    rare = at.where(F.col("df") <= FREQUENT).select(F.lit(-1).alias("band"), F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "doc", "n", "c")
     band = F.floor(F.ln("n") / math.log(100 / SIMILARITY_PERCENT)).cast("int")
-    often = at.where(F.col("df") > FREQUENT).select("doc", "n", "r", "f", "c", "token", F.explode(F.array(band, band - 1)).alias("band"))
+    often = at.where(F.col("df") > FREQUENT).select("doc", "n", "c", "token", F.explode(F.array(band, band - 1)).alias("band"))
     often = often.withColumn("least_n", F.floor(F.pow(F.lit(100 / SIMILARITY_PERCENT), F.col("band"))).cast("bigint"))
     often = often.withColumn("g", F.expr(f"pmod(token, 1 + (least_n - ({SIMILARITY_PERCENT} * least_n + 99) div 100) div 4)"))
     two = often.join(often.select("doc", "band", "g", F.col("token").alias("other")), ["doc", "band", "g"]).where("token < other")
-    two = two.select("band", F.col("token").alias("k1"), F.col("other").alias("k2"), "doc", "n", "r", "f", "c")
-    spread = two.groupBy("band", "k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "k1", "k2")
-    signed = rare.union(two.join(spread, ["band", "k1", "k2"]))
-    other = signed.select("band", "k1", "k2", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("f").alias("fb"), F.col("c").alias("cb"))
-    fit = f"doc < b and c != cb and {_ALLOWED}"
-    per = signed.join(other, ["band", "k1", "k2"]).where(fit).groupBy(F.col("doc").alias("a"), "b").agg(
-        F.count_if(F.col("band") < 0).alias("k"), F.min(F.least("f", "fb")).alias("f"), F.min(F.least("n", "nb")).alias("m")
-    )
-    # the prefix that ends first has this many tokens of the partner, rare ones counted, frequent ones at most all
-    t = f"(m - ({SIMILARITY_PERCENT} * m + 99) div 100)"
-    return per.where(f"k + f >= least(m, {t} + 2 + {t} div 4) - {t}").select("a", "b")
+    two = two.select("band", F.col("token").alias("k1"), F.col("other").alias("k2"), "doc", "n", "c")
+    keyed = stage(rare.union(two), "combination-index")
+    firsts = keyed.groupBy("band", "k1", "k2").agg(F.min("doc").alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    members = stage(keyed.join(firsts, ["band", "k1", "k2"]).select("hub", "doc", "n", "c").distinct(), "neighbourhoods")
+    tiles = stage(_tiled(members), "tiles")
+    groups = (tiles.agg(F.sum("n")).first()[0] or 0) // (2 * TILE_TOKENS) + 1
+    group = F.pmod(F.xxhash64("hub", "p", "q"), F.lit(groups)).alias("group")
+    held = tiles.join(sets, "doc").select(group, "hub", "p", "q", "side", "c", "tokens")
+    found = stage(held.groupBy("group").applyInArrow(tile_links, "a bigint, b bigint").distinct(), "links")
+    discard(keyed, members, tiles)
+    return found
+
+
+def _tiled(members: DataFrame) -> DataFrame:
+    """``hub, p, q, side, doc, n, c`` of the neighbourhoods with several components: tile ``(p, q)`` compares its texts of
+    side 0 with those of side 1, which are outside the neighbourhood's largest component."""
+    per = members.groupBy("hub", "c").agg(F.sum("n").alias("m"))
+    sizes = per.groupBy("hub").agg(F.count("*").alias("cs"), F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("all")).where("cs > 1")
+    sizes = sizes.select("hub", F.col("main.c").alias("main"), F.expr(f"1 + main.m div {TILE_TOKENS}").alias("mains"), F.expr(f"1 + (all - main.m) div {TILE_TOKENS}").alias("others"))
+    # parts 0 ... mains-1 are of the largest component, the rest of the others
+    part = F.when(F.col("c") == F.col("main"), F.expr("pmod(xxhash64(doc), mains)")).otherwise(F.expr("mains + pmod(xxhash64(doc), others)"))
+    at = members.join(sizes, "hub").withColumn("part", part)
+    right = at.where("part >= mains").select("hub", F.explode(F.expr("sequence(0L, part)")).alias("p"), F.col("part").alias("q"), F.lit(1).alias("side"), "doc", "n", "c")
+    left = at.select("hub", F.col("part").alias("p"), F.explode(F.expr("sequence(greatest(mains, part), mains + others - 1)")).alias("q"), F.lit(0).alias("side"), "doc", "n", "c")
+    return left.union(right)
+
+
+def tile_links(group: pa.Table) -> pa.Table:
+    """Pairs of components that link in a group of tiles, each once: of every text of side 1 the common tokens with all
+    texts of side 0 are counted at once."""
+    found: set[tuple[int, int]] = set()
+    where, side, c = (np.stack([group.column(n).to_numpy() for n in ("hub", "p", "q")]), group.column("side").to_numpy(), group.column("c").to_numpy())
+    held = group.column("tokens").combine_chunks()
+    order = np.lexsort((side, *where[::-1]))
+    where, side, c = where[:, order], side[order], c[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (where[:, 1:] != where[:, :-1]).any(0), [True]]))
+    for start, end in zip(cuts, cuts[1:]):
+        tokens = [np.frombuffer(held[int(order[i])].as_buffer(), np.uint64) for i in range(start, end)]
+        half = int(np.searchsorted(side[start:end], 1))
+        if half in (0, end - start):
+            continue
+        left = np.concatenate(tokens[:half])
+        sizes = np.array([len(t) for t in tokens])
+        firsts = np.cumsum(sizes[:half]) - sizes[:half]
+        known, ids = np.unique(left, return_inverse=True)
+        marked = np.zeros(len(known) + 1, np.int64)
+        for i in range(half, end - start):
+            mine, n = int(c[start + i]), int(sizes[i])
+            open_ = (c[start : start + half] != mine) & (100 * sizes[:half] >= SIMILARITY_PERCENT * n) & (100 * n >= SIMILARITY_PERCENT * sizes[:half])
+            if not open_.any():
+                continue
+            at = np.searchsorted(known, tokens[i])
+            at[known[np.minimum(at, len(known) - 1)] != tokens[i]] = len(known)
+            marked[at] = 1
+            marked[-1] = 0
+            both = np.add.reduceat(marked[ids], firsts)
+            marked[at] = 0
+            ok = open_ & (100 * both >= SIMILARITY_PERCENT * (sizes[:half] + n - both))
+            found.update((min(mine, o), max(mine, o)) for o in np.unique(c[start : start + half][ok]).tolist())
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pa.table([pairs[:, 0], pairs[:, 1]], ["a", "b"])
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

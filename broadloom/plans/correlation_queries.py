@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from broadloom.operators import correlation, dictionary, encoding, joins, knockout, manifest, selectors
-from broadloom.plans import features as ft, flows, twin_sql as sql
+from broadloom.plans import features as ft, flows, presets, twin_sql as sql
 from broadloom.plans.registry import query
 from broadloom.session import shared_path, stage
 from broadloom.sources import files
@@ -118,7 +118,7 @@ _STRICT_SQL = f"""SELECT *, 2 * price_sum + 1 AS price_scaled, -price_sum AS pri
 
 @query(
     "corr_strict_099",
-    f"""WITH {sql.pairs(_STRICT_SQL, _STRICT_NUMBERS)}, {sql.verdicts(0.85, 0.99, _STRICT_NUMBERS)}
+    f"""WITH {sql.pairs(_STRICT_SQL, _STRICT_NUMBERS)}, {sql.verdicts(presets.STRENGTH, presets.STRICT_SIGNED, _STRICT_NUMBERS)}
     SELECT field, knocked_out_by, round(r, 6) + 0.0 AS r FROM verdicts WHERE verdict = 'DROP'""",
 )
 def corr_strict_099(spark, folder):
@@ -131,7 +131,7 @@ def corr_strict_099(spark, folder):
     )
     pairs = correlation.correlation_pairs(df, _STRICT_NUMBERS)
     catalog = selectors.field_catalog(df, *_STRICT_NUMBERS).select("ordinal", "field")
-    out = knockout.knock_outs(knockout.correlated(pairs, 0.85, 0.99))
+    out = knockout.knock_outs(knockout.correlated(pairs, presets.STRENGTH, presets.STRICT_SIGNED))
     rows = knockout.verdicts(catalog, out).where(F.col("verdict") == "DROP")
     return rows.select("field", "knocked_out_by", F.round("r", 6).alias("r"))
 
@@ -271,7 +271,7 @@ def manifest_projection(spark, folder):
     label joined back to it by key. At r >= .99 only the net total falls."""
     df = stage(ft.order_features(spark, folder), "features")
     numbers = selectors.without(df, "o_orderpriority")
-    out = knockout.knock_outs(knockout.correlated(correlation.correlation_pairs(numbers, NUMBERS), 0.85, 0.99))
+    out = knockout.knock_outs(knockout.correlated(correlation.correlation_pairs(numbers, NUMBERS), presets.STRENGTH, presets.STRICT_SIGNED))
     path = shared_path(spark, "elimination")
     files.write_csv(knockout.verdicts(_catalog(spark), out), path)
     listed = files.read_csv(spark, path, "field string, ordinal int, knocked_out_by string, r double, verdict string")
@@ -361,3 +361,18 @@ def verdict_override_table(spark, folder):
     listed = F.when(F.col("priority") % 2 == 0, "DROP").otherwise("KEEP").alias("verdict")
     lists = judged.select("field", "ordinal").join(nation, F.col("priority") % len(NUMBERS) == F.col("ordinal")).select("field", listed, "priority")
     return knockout.overridden_by(judged, lists).select("field", "verdict", "final_verdict")
+
+
+@query(
+    "wide_manifest_chunks",
+    f"""WITH {sql.wide_pairs()}, {sql.verdicts(presets.STRENGTH, None, ft.WIDE_FIELDS)}
+    SELECT line, string_agg('''' || field || '''', ', ' ORDER BY field) AS code
+    FROM (SELECT field, CAST(row_number() OVER (ORDER BY field) // {presets.NAMES_PER_LINE} AS INTEGER) AS line FROM verdicts WHERE verdict = 'KEEP')
+    GROUP BY line""",
+)
+def wide_manifest_chunks(spark, folder):
+    """The kept fields of the wide table, quoted, by the preset number of names a line."""
+    pairs = correlation.correlation_pairs(ft.part_features(spark, folder), ft.WIDE_FIELDS)
+    catalog = spark.createDataFrame(list(enumerate(ft.WIDE_FIELDS)), "ordinal int, field string")
+    kept = knockout.verdicts(catalog, knockout.knock_outs(knockout.correlated(pairs))).where("verdict = 'KEEP'")
+    return manifest.chunked_list(kept, per_line=presets.NAMES_PER_LINE)

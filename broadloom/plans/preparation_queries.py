@@ -338,6 +338,17 @@ def bin_categories(spark, folder):
     return binning.bin_fields(df, [_SEGMENT_RULE, _REGION_RULE])
 
 
+@query(
+    "bin_missing_named",
+    """SELECT o_orderkey, CASE WHEN place IS NULL THEN 'WEST' WHEN place IN ('AMERICA', 'EUROPE') THEN 'WEST' WHEN place = 'ASIA' THEN 'EAST'
+      ELSE 'ELSEWHERE' END AS place FROM (SELECT o_orderkey, nullif(r_name, 'AFRICA') AS place FROM (""" + sql.ORDER_FEATURES + "))",
+)
+def bin_missing_named(spark, folder):
+    """Missing values go into a bin that listed values have too, unlisted ones into another."""
+    df = ft.order_features(spark, folder).select("o_orderkey", F.nullif(F.col("r_name"), F.lit("AFRICA")).alias("place"))
+    return binning.bin_fields(df, [BinRule("place", _REGION_RULE.bins, missing="WEST", other="ELSEWHERE")])
+
+
 @query(
     "bin_default_keep",
     """SELECT o_orderkey, CASE WHEN status IS NULL THEN 'NULL' WHEN status = 'F' THEN 'CLOSED' ELSE status END AS status
@@ -477,9 +488,8 @@ def _one_hot_sql(field, levels, clean=True):
 )
 def onehot_wide(spark, folder):
     df = ft.order_features(spark, folder).select("o_orderkey", "c_mktsegment", "r_name", "n_name")
-    places = ft.customer_places(spark, folder)
     fields = ["c_mktsegment", "r_name", "n_name"]
-    return encoding.one_hot(df, fields, encoding.levels_of(places, fields))
+    return encoding.one_hot(df, fields, encoding.levels_of(df, fields))
 
 
 @query(

@@ -177,30 +177,30 @@ def field_taxonomy_chunks(spark, folder):
 @query(
     "split_80_20",
     f"""SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {_hash("o_orderkey")})
-      <= round(0.8 * (SELECT count(*) FROM orders)) THEN 'train' ELSE 'test' END AS part FROM orders""",
+      <= round({presets.TRAIN_SHARE} * (SELECT count(*) FROM orders)) THEN 'train' ELSE 'test' END AS part FROM orders""",
 )
 def split_80_20(spark, folder):
     """Exactly 80 % of the rows, chosen by key hash, without a global sort."""
-    return splitting.exact_split(ft.table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 0.8, SEED)
+    return splitting.exact_split(ft.table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", presets.TRAIN_SHARE, SEED)
 
 
 @query(
     "split_threshold",
-    f"""SELECT o_orderkey, CASE WHEN {_hash_int("o_orderkey")} < {int(0.8 * 2**32)} THEN 'train' ELSE 'test' END AS part
+    f"""SELECT o_orderkey, CASE WHEN {_hash_int("o_orderkey")} < {int(presets.TRAIN_SHARE * 2**32)} THEN 'train' ELSE 'test' END AS part
     FROM orders""",
 )
 def split_threshold(spark, folder):
-    return splitting.threshold_split(ft.table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 0.8, SEED)
+    return splitting.threshold_split(ft.table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", presets.TRAIN_SHARE, SEED)
 
 
 @query(
     "split_complement",
-    f"""SELECT o_orderkey, o_totalprice FROM orders WHERE {_hash_int("o_orderkey")} >= {int(0.8 * 2**32)}""",
+    f"""SELECT o_orderkey, o_totalprice FROM orders WHERE {_hash_int("o_orderkey")} >= {int(presets.TRAIN_SHARE * 2**32)}""",
 )
 def split_complement(spark, folder):
     """The test rows as the rows left over by the train rows."""
     orders = ft.table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    train = splitting.threshold_split(orders, "o_orderkey", 0.8, SEED).where("part = 'train'")
+    train = splitting.threshold_split(orders, "o_orderkey", presets.TRAIN_SHARE, SEED).where("part = 'train'")
     return joins.complement(orders, train, "o_orderkey")
 
 

@@ -37,7 +37,7 @@ END_ID = 1
 #: Words a worker remembers; bounds memory only.
 REMEMBERED_WORDS = 1 << 19
 
-_BLANKS = bytes(32 if b in b"\n\t\r" else b for b in range(256))
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\n\t\r" else b for b in range(256))
 #: Texts on which a tokenizer must agree with its own pieces before it is trusted to be cut into words.
 _PROBES = ("Ab cD. eF, 12 34. g", "x\ty\nz  w\r\n.", "it's THE end.", "a.b, c", "\u00c9t\u00e9 e\u0301 \u0130 \u03a3\u03a3 \u00df.", "...,. a,")
 _STOP_BEHIND_WORD = re.compile(rb"(?<=[a-z0-9])([.,])(?= |$)")
@@ -46,10 +46,10 @@ _STOP_BEHIND_WORD = re.compile(rb"(?<=[a-z0-9])([.,])(?= |$)")
 class WordTokenizer:
     """A tokenizer file whose pieces never cross white space and ignore case, with a memory for words.
 
-    Text is cut at blanks, line breaks and tabs, and the words before a full stop or comma that ends them, in lower case:
-    places where the tokenizer's own pattern cuts too. The library encodes each distinct word once. A text with ``<|``,
-    which may be an added token's text, goes to the library whole, and so does every text where the tokenizer gives
-    other ids for one of a few probes than for their words.
+    Text is folded (A-Z to a-z, line breaks and tabs to blanks) and cut at blanks and before a full stop or comma
+    that ends a word: places where the tokenizer's own pattern cuts too. The library encodes each distinct word
+    once. A text with ``<|``, which may be an added token's text, goes to the library whole, and so does every text where
+    the tokenizer gives other ids for one of a few probes than for their words.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -68,14 +68,11 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        cut = [t.encode().translate(_BLANKS).split(b" ") if self.by_words and "<|" not in t else None for t in texts]
+        cut = [_STOP_BEHIND_WORD.sub(rb" \1", t.encode().translate(_FOLD)).split(b" ") if self.by_words and "<|" not in t else None for t in texts]
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
         new = list({w for words in cut if words for w in words if w not in self.words})
-        pieces = [_STOP_BEHIND_WORD.sub(rb" \1", w.lower()).split(b" ") for w in new]
-        ids = self._encode([p.decode() for of in pieces for p in of])
-        ends = np.cumsum([len(of) for of in pieces]).tolist()
-        self.words.update((w, b"".join(ids[e - len(of) : e])) for w, of, e in zip(new, pieces, ends))
+        self.words.update(zip(new, self._encode([w.decode() for w in new])))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) if words is not None else self._encode([t])[0] for words, t in zip(cut, texts)]
 

@@ -16,6 +16,14 @@ T = TypeVar("T")
 
 #: Fits that run at once by default; results do not depend on it.
 SLOTS = 4
+#: Rows that the fits of a moment hold together: Spark keeps each fit's bagged rows, about 300 bytes a row with 20 trees.
+ROWS_AT_ONCE = 10_000_000
+
+
+def slots_for(rows: int, fits: int = SLOTS) -> int:
+    """At most ``fits`` at once, fewer on large tables: their bagged rows would push each other out of memory, and a fit
+    then fills all cores by itself."""
+    return max(1, min(fits, ROWS_AT_ONCE // max(rows, 1)))
 
 
 def placed(table: DataFrame, key: str, per_partition: int) -> DataFrame:

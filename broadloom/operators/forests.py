@@ -24,7 +24,7 @@ from broadloom.functions import cells
 from broadloom.operators import dictionary, fits, importance as imp, permutation
 from broadloom.operators.joins import assert_unique
 from broadloom.operators.selectors import col
-from broadloom.operators.shadows import ROWS_PER_BLOCK, block_count, block_rows, shadow_arrays, shadow_blocks, shadow_name
+from broadloom.operators.shadows import BLOCK, ROWS_PER_BLOCK, block_count, block_rows, shadow_arrays, shadow_blocks, shadow_name
 from broadloom.operators.splitting import fold
 from broadloom.session import shared_path, stage
 
@@ -131,7 +131,7 @@ def all_relevant(
     table = assert_unique(stage(model_table(df, key, target, fields, forest.classes), "features"), key)
     blocks = _placed_blocks(table, key, ["label", *fields], forest, rows_per_block)
     try:
-        return _relevance(blocks, "label", list(fields), max_runs, forest, slots)
+        return _relevance(blocks, "label", list(fields), max_runs, forest, fits.slots_for(table.count(), slots))
     finally:
         blocks.unpersist()
 
@@ -140,7 +140,7 @@ def _placed_blocks(staged: DataFrame, key: str, columns: Sequence[str], forest:
     """Shadow blocks of a stage with unique keys (a repeated key would make one block as large), placed and kept."""
     blocks = block_count(staged.count(), rows_per_block)
     made = stage(shadow_blocks(staged, key, columns, blocks, forest.seed), "blocks")
-    return fits.placed(made, "block", max(1, forest.rows_per_partition // rows_per_block))
+    return fits.placed(made, BLOCK, max(1, forest.rows_per_partition // rows_per_block))
 
 
 def _certain_runs(hit_count: dict[str, int], done: int, tentative: list[str], fields: int) -> int:
@@ -223,7 +223,7 @@ def chunked_relevance(
             labelled.coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings={settings[target, chunk]}")
 
         try:
-            fits.concurrently(spark, [lambda c=c, t=t: select(c, t) for c, t in missing], slots)
+            fits.concurrently(spark, [lambda c=c, t=t: select(c, t) for c, t in missing], fits.slots_for(staged.count(), slots))
         finally:
             for b in blocks.values():
                 b.unpersist()
@@ -297,7 +297,7 @@ def recursive_elimination(
 
     pairs = [(r, h) for r in range(repeats) for h in range(folds)]
     try:
-        done = fits.concurrently(spark, [lambda r=r, h=h: resample(r, h) for r, h in pairs], slots)
+        done = fits.concurrently(spark, [lambda r=r, h=h: resample(r, h) for r, h in pairs], fits.slots_for(table.count(), slots))
     finally:
         kept.unpersist()
     scores = [s for _, found in done for s in found]

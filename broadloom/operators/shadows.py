@@ -1,7 +1,8 @@
 """Shadow columns: every field again, its values moved to other rows.
 
 Rows are dealt into blocks by key hash, each block is put in hash order, and a shadow is its column
-rotated by an offset drawn per run and field: whole arrays are sliced, no value is looked up singly.
+rotated by an offset drawn per run and field: whole arrays are sliced, no value is looked up singly. Stored blocks hold a
+plain array per column, so a run slices numbers and never takes records apart.
 Blocks are random sets of rows of bounded size, so a rotation keeps each column's distribution exactly
 while breaking its tie to the target and to other columns. The data is exchanged once; further runs
 only rotate the stored blocks.
@@ -19,6 +20,7 @@ from broadloom.functions import cells
 from broadloom.operators.selectors import col, quoted_name
 
 ROWS_PER_BLOCK = 1000
+BLOCK = "__block"
 
 
 def block_count(rows: int, per_block: int = ROWS_PER_BLOCK) -> int:
@@ -26,13 +28,17 @@ def block_count(rows: int, per_block: int = ROWS_PER_BLOCK) -> int:
 
 
 def shadow_blocks(df: DataFrame, key: str, columns: Iterable[str], blocks: int, seed: int) -> DataFrame:
-    """One row per block: ``(block, rows)`` with the rows in hash order."""
-    columns = list(columns)
+    """One row per block: ``__block`` and an array per column, with the rows in hash order.
+
+    Stage them where several runs read them: what is stored is plain arrays, unstaged each run takes records apart.
+    """
+    columns = list(dict.fromkeys(columns))
     row = F.struct(cells.hash_hex(f"{seed}.order", col(key)).alias("h"), *[col(n) for n in columns])
-    block = (cells.hash_int(seed, col(key)) % blocks).cast("int").alias("block")
+    block = (cells.hash_int(seed, col(key)) % blocks).cast("int").alias(BLOCK)
     # exchanging the plain rows first saves the map tasks from building lists they cannot shorten
-    dealt = df.select(block, row.alias("row")).repartition("block")
-    return dealt.groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    dealt = df.select(block, row.alias("row")).repartition(BLOCK)
+    grouped = dealt.groupBy(BLOCK).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return grouped.select(BLOCK, *[F.col("rows").getField(n).alias(n) for n in columns])
 
 
 def offset_draw(seed: int, run: int | str, field: str) -> int:
@@ -51,7 +57,8 @@ def shadow_arrays(
     with ``position`` also the places of the rows in their block."""
     runs = list(runs)
     q = quoted_name
-    arrays = blocks.selectExpr(*[f"rows.{q(n)} AS {q(n)}" for n in dict.fromkeys([*keep, *fields])], "size(rows) AS __size")
+    columns = [q(n) for n in dict.fromkeys([*keep, *fields])]
+    arrays = blocks.selectExpr(*columns, f"size({columns[0]}) AS __size")
 
     def rotated(run: int, field: str) -> str:
         # 1 … size-1, so that no row keeps its own value (a block of one row has to)

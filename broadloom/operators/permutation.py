@@ -25,6 +25,8 @@ from broadloom.operators.shadows import offset_draw
 
 #: One place of so many is held out.
 HELD = 3
+#: Blocks that are scored together: enough rows for a call, whatever the size of a block.
+BLOCKS_AT_ONCE = 64
 POSITION = "__place"
 
 _TEST = re.compile(r"\s*(If|Else) \(feature (\d+) (<=|>) (\S+)\)")
@@ -106,19 +108,32 @@ def loss_increases(
         total = np.zeros((len(trees), len(inputs)))
         rows = 0
         for batch in batches:
-            lists = [batch.column(i) for i in range(len(inputs) + 1)]
-            for b in range(batch.num_rows):
-                y, *xs = (np.asarray(c[b].values, dtype=float) for c in lists)
-                held = np.flatnonzero((np.arange(len(y)) + run) % HELD == 0)
-                y, x = y[held], np.stack([v[held] for v in xs], 1)
-                rows += len(y)
-                if len(y) < 2:
+            for start in range(0, batch.num_rows, BLOCKS_AT_ONCE):
+                some = batch.slice(start, BLOCKS_AT_ONCE)
+                columns = [some.column(i).flatten().to_numpy(zero_copy_only=False).astype(float) for i in range(len(inputs) + 1)]
+                sizes = some.column(0).value_lengths().to_numpy()
+                firsts = np.cumsum(sizes) - sizes
+                held = [b + np.flatnonzero((np.arange(n) + run) % HELD == 0) for b, n in zip(firsts, sizes)]
+                rows += sum(map(len, held))
+                held = [h for h in held if len(h) >= 2]
+                if not held:
                     continue
+                at = np.concatenate(held)
+                y, x = columns[0][at], np.stack([v[at] for v in columns[1:]], 1)
+                ends = np.cumsum([0, *map(len, held)])
+                turned = {}  # each used column, rotated within its blocks
+
+                def rotated(f: int) -> np.ndarray:
+                    if f not in turned:
+                        moves = [(a, b, held_offset(seed, run, inputs[f], int(b - a))) for a, b in zip(ends, ends[1:])]
+                        turned[f] = np.concatenate([np.roll(x[a:b, f], -move) for a, b, move in moves])
+                    return turned[f]
+
                 for t, tree in enumerate(trees):
                     loss = _loss(tree.predict(x), y, classes)
                     for f in np.unique(tree.feature[tree.feature >= 0]):
                         kept = x[:, f].copy()
-                        x[:, f] = np.roll(kept, -held_offset(seed, run, inputs[f], len(y)))
+                        x[:, f] = rotated(f)
                         total[t, f] += (_loss(tree.predict(x), y, classes) - loss).sum()
                         x[:, f] = kept
         t, f = np.nonzero(total)

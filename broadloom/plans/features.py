@@ -108,24 +108,27 @@ def event_trends(spark: SparkSession, folder: str) -> DataFrame:
 MEASURES = ["qty_sum", "line_cnt", "price_sum", "disc_max"]
 WIDE_CELLS = [f"{flag}_{status}_{line}" for flag in "ANR" for status in "FO" for line in range(1, 8)]
 WIDE_FIELDS = [f"{cell}_{m}" for cell in WIDE_CELLS for m in MEASURES]
-#: Lines whose parts one task of the pivot holds.
+#: Lines that one task sums, and whose parts one task of the pivot holds.
 LINES_PER_PIVOT = 500_000
 
 
 def part_features(spark: SparkSession, folder: str) -> DataFrame:
     """One row per part, one column per line status, line number and measure: a wide, gappy table.
 
-    Lines are first summed per part and cell. These narrow sums are dealt by part before the pivot, so only the task that
-    holds all cells of a part makes its wide row, and the number of tasks follows the lines: none holds more parts on a
-    larger table.
+    Lines are dealt by part and cell and summed where they lie; part and cell hardly repeat within a task's input, so
+    sums made before the exchange would hold nearly every line in memory. The narrow sums are dealt by part before the
+    pivot, so only the task that holds all cells of a part makes its wide row. Both numbers of tasks follow the lines:
+    none holds more of them on a larger table.
     """
     lines = table(spark, folder, "lineitem")
+    tasks = -(-lines.count() // LINES_PER_PIVOT) or 1
     cell = F.concat_ws("_", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))
-    sums = lines.groupBy("l_partkey", cell.alias("cell")).agg(
+    narrow = lines.select("l_partkey", cell.alias("cell"), "l_quantity", "l_extendedprice", "l_discount")
+    sums = narrow.repartition(tasks, "l_partkey", "cell").groupBy("l_partkey", "cell").agg(
         F.sum("l_quantity").alias("qty_sum"),
         F.count(F.lit(1)).alias("line_cnt"),
         F.sum("l_extendedprice").alias("price_sum"),
         F.max("l_discount").alias("disc_max"),
     )
-    placed = sums.repartition(-(-lines.count() // LINES_PER_PIVOT) or 1, "l_partkey")
+    placed = sums.repartition(tasks, "l_partkey")
     return placed.groupBy("l_partkey").pivot("cell", WIDE_CELLS).agg(*[F.first(m).alias(m) for m in MEASURES])

@@ -16,8 +16,10 @@ repeated row is a document of its own. Extra columns are not read. An empty tabl
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,26 +41,47 @@ REMEMBERED_WORDS = 1 << 19
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\n\t\r" else b for b in range(256))
 #: Texts on which a tokenizer must agree with its own pieces before it is trusted to be cut into words.
-_PROBES = ("Ab cD. eF, 12 34. g", "x\ty\nz  w\r\n.", "it's THE end.", "a.b, c", "\u00c9t\u00e9 e\u0301 \u0130 \u03a3\u03a3 \u00df.", "...,. a,")
-_STOP_BEHIND_WORD = re.compile(rb"(?<=[a-z0-9])([.,])(?= |$)")
+_PROBES = (
+    "Ab cD. eF, 12 34. g", "x\ty\nz  w\r\n.", "it's THE end.", "a.b, c", "\u00c9t\u00e9 e\u0301 \u0130 \u03a3\u03a3 \u00df.", "...,. a,",
+    "ab*** 7%%% \u00fc)., dogs' it's'. (x) e\u0301. \u2026. _a_ a\u00b2! q" + string.punctuation,
+)
+#: Letters and digits that stay such at the end of a piece: composing and folding leave no mark of theirs behind.
+_STEM_ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and c.lower().isalnum())
+#: Words that are one piece as they are: small letters, already composed.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_LETTERS = "".join(filter(_PLAIN.fullmatch, map(chr, range(256))))
+_PLAIN_PROBES = (*_LETTERS, *map("".join, zip(_LETTERS, _LETTERS[1:])), "the", "something", _LETTERS, _LETTERS[::-1], 40 * _LETTERS)
+#: Plain words that are encoded as one text.
+WORDS_AT_ONCE = 64
 
 
 class WordTokenizer:
     """A tokenizer file whose pieces never cross white space and ignore case, with a memory for words.
 
-    Text is folded (A-Z to a-z, line breaks and tabs to blanks) and cut at blanks and before a full stop or comma
-    that ends a word: places where the tokenizer's own pattern cuts too. The library encodes each distinct word
-    once. A text with ``<|``, which may be an added token's text, goes to the library whole, and so does every text where
-    the tokenizer gives other ids for one of a few probes than for their words.
+    Text is folded (A-Z to a-z, line breaks and tabs to blanks) and cut at blanks, and a word before the ASCII marks at its
+    end if a Latin letter or a digit stands there: places where the tokenizer's own pattern cuts too. The library encodes each
+    distinct word, without its marks, once. A text with ``<|``, which may be an added token's text, goes to the library
+    whole, and so does every text where the tokenizer gives other ids for one of a few probes than for their words.
+
+    Words of small Latin letters need neither normalizer nor pattern: many of them go to the same model as one text,
+    whose ids are parted behind the tokens that end a word. If they do not part into as many words, or the probes of
+    such words give other ids, the whole tokenizer encodes them one by one.
     """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.library.get_vocab(with_added_tokens=False), json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        if not self.ends_word.any() or self._encode_plain(list(_PLAIN_PROBES)) != self._encode(list(_PLAIN_PROBES)):
+            self.plain = None
         self.by_words = True
         self.by_words = all(self.encode([p]) == self._encode([p]) for p in _PROBES)
         self.words.clear()
@@ -66,13 +89,38 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Ids of each plain word."""
+        if self.plain is None or not words:
+            return self._encode(words)
+        texts = [" ".join(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.kind.itemsize).tolist()
+        if len(ends) != len(words):
+            return self._encode(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Remember the ids of new words."""
+        words = [w.decode() for w in new]
+        stems = [w.rstrip(string.punctuation) for w in words]
+        parted = [(w, w[: len(s)], w[len(s) :]) if len(s) < len(w) and s[-1:] in _STEM_ENDS else (w, w, "") for w, s in zip(words, stems)]
+        open_ = {p for _, stem, marks in parted for p in ((stem, marks) if marks else (stem,)) if p.encode() not in self.words}
+        plain, others = [], []
+        for p in open_:
+            (plain if _PLAIN.fullmatch(p) else others).append(p)
+        self.words.update(zip(map(str.encode, plain), self._encode_plain(plain)))
+        self.words.update(zip(map(str.encode, others), self._encode(others)))
+        get = self.words.__getitem__
+        self.words.update((w.encode(), get(stem.encode()) + get(marks.encode())) for w, stem, marks in parted if marks)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        cut = [_STOP_BEHIND_WORD.sub(rb" \1", t.encode().translate(_FOLD)).split(b" ") if self.by_words and "<|" not in t else None for t in texts]
+        cut = [t.encode().translate(_FOLD).split(b" ") if self.by_words and "<|" not in t else None for t in texts]
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        new = list({w for words in cut if words for w in words if w not in self.words})
-        self.words.update(zip(new, self._encode([w.decode() for w in new])))
+        self._learn(set().union(*(words for words in cut if words is not None)).difference(self.words))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) if words is not None else self._encode([t])[0] for words, t in zip(cut, texts)]
 

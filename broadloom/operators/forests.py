@@ -1,6 +1,7 @@
 """All-relevant selection and recursive elimination over Spark ML forests.
 
-Forests are trained by Spark as they are. What comes back to the driver per fit is one importance per
+Forests of a selection are trained by Spark as they are; those of an elimination's resamples grow together
+(:mod:`broadloom.operators.grown`). What comes back to the driver per fit is one importance per
 column. The rows are placed once (:func:`fits.placed`) and kept; fits that do not wait for one another run side by side.
 
 Importance is Spark's impurity importance, or with ``importance="permutation"`` the loss that held-out rows gain when
@@ -21,7 +22,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.functions import cells
-from broadloom.operators import dictionary, fits, importance as imp, permutation
+from broadloom.operators import dictionary, fits, grown, importance as imp, permutation
 from broadloom.operators.joins import assert_unique
 from broadloom.operators.selectors import col
 from broadloom.operators.shadows import BLOCK, ROWS_PER_BLOCK, block_count, block_rows, shadow_arrays, shadow_blocks, shadow_name
@@ -271,37 +272,31 @@ def recursive_elimination(
     scored on the held-out fold. The size with the best mean score wins; its fields are the best by
     mean importance over the resamples. Ranks are by impurity.
 
-    The rows are exchanged once for all resamples: they carry their fold of every repeat, and a fit filters them
-    where they lie. Resamples are independent, ``slots`` of them run at once.
+    The forests of all resamples grow together (:mod:`broadloom.operators.grown`): a pass over the rows per level and
+    size, whatever the number of resamples. ``slots`` is kept for callers and changes nothing.
     """
     fields = list(fields)
     spark = df.sparkSession
     numbers = [fold(col(key), folds, forest.seed, r).alias(f"__fold_{r}") for r in range(repeats)]
     table = assert_unique(stage(model_table(df, key, target, fields, forest.classes), "features"), key)
-    kept = fits.placed(table.select("*", *numbers), key, forest.rows_per_partition)
     steps = sorted({s for s in sizes if s < len(fields)} | {len(fields)}, reverse=True)
-
-    def resample(repeat: int, held: int) -> tuple[dict[str, float], list[tuple[int, int, int, str, float]]]:
-        number = F.col(f"__fold_{repeat}")
-        train, test = kept.where(number != held), kept.where(number == held)
-        ordered, ranks, scores = fields, {}, []
-        for size in steps:
-            used = ordered[:size]
-            model, found = _importances(forest, train, used, repeat * folds + held)
-            if size == len(fields):
-                ordered, ranks = sorted(fields, key=lambda f: (-found[f], f)), found
-            seen = model.transform(VectorAssembler(inputCols=used, outputCol="features").transform(test))
-            for metric, value in _scores(seen.select("label", "prediction"), forest.classes).items():
-                scores.append((repeat, held, size, metric, value))
-        return ranks, scores
-
+    classes = int(table.agg(F.max("label")).first()[0] or 0) + 1 if forest.classes else 0
+    flags = not forest.classes and bool(table.agg(F.bool_and(F.col("label").isin(0.0, 1.0))).first()[0])
     pairs = [(r, h) for r in range(repeats) for h in range(folds)]
+    packed = grown.blocks(table, key, fields, numbers, table.count(), forest.bins)
+    scores: list[tuple[int, int, int, str, float]] = []
+    ordered, found = {p: list(range(len(fields))) for p in pairs}, {}
     try:
-        done = fits.concurrently(spark, [lambda r=r, h=h: resample(r, h) for r, h in pairs], fits.slots_for(table.count(), slots))
+        for size in steps:
+            model, shares = grown.grow(packed, forest, classes, flags, {p: ordered[p][:size] for p in pairs}, repeats, folds, len(fields))
+            if size == len(fields):
+                found = {p: dict(zip(fields, shares[p].tolist())) for p in pairs}
+                ordered = {p: sorted(range(len(fields)), key=lambda i: (-shares[p][i], fields[i])) for p in pairs}
+            for p, sums in grown.scores(packed, forest, classes, model, repeats, len(fields)).items():
+                scores += [(*p, size, m, v) for m, v in _metrics(sums, classes).items()]
     finally:
-        kept.unpersist()
-    scores = [s for _, found in done for s in found]
-    ranks = {f: sum(found[f] for found, _ in done) for f in fields}
+        packed.unpersist()
+    ranks = {f: sum(found[p][f] for p in pairs) for f in fields}
     resamples = spark.createDataFrame(scores, "repeat int, fold int, size int, metric string, value double")
     profile = resamples.groupBy("size", "metric").agg(F.avg("value").alias("mean"), F.stddev("value").alias("sd"))
     lead = "Accuracy" if forest.classes else "RMSE"
@@ -310,23 +305,35 @@ def recursive_elimination(
     return Elimination(resamples, profile, sorted(fields, key=lambda f: (-ranks[f], f))[:best])
 
 
+def _metrics(sums, classes: int) -> dict[str, float]:
+    """Metrics of a resample from its sums (:func:`grown.scores`)."""
+    if classes:
+        return _agreement([(i // classes, i % classes, int(n)) for i, n in enumerate(sums) if n])
+    n, squares, absolute, p, y, pp, yy, py, low, high = sums.tolist()
+    if not n:
+        return {}
+    out = {"RMSE": math.sqrt(squares / n), "MAE": absolute / n}
+    across = yy - y * y / n
+    if low < high:
+        out["Rsquared"] = (py - p * y / n) ** 2 / ((pp - p * p / n) * across) if across > 0 else 1.0
+    return out
+
+
 def _scores(seen: DataFrame, classes: bool) -> dict[str, float]:
     if not classes:
-        error = F.col("prediction") - F.col("label")
-        sums = seen.agg(
-            F.sqrt(F.avg(error * error)).alias("RMSE"),
-            F.avg(F.abs(error)).alias("MAE"),
-            F.expr("regr_r2(label, prediction)").alias("Rsquared"),
-        ).first()
-        return {m: v for m, v in sums.asDict().items() if v is not None}
-    cells_ = seen.groupBy("label", "prediction").count().collect()  # one row per pair of classes
-    total = sum(c["count"] for c in cells_)
+        raise ValueError("numbers are scored by their sums")
+    return _agreement([(c["label"], c["prediction"], c["count"]) for c in seen.groupBy("label", "prediction").count().collect()])
+
+
+def _agreement(pairs: Sequence[tuple[float, float, int]]) -> dict[str, float]:
+    """Accuracy and kappa from the rows per class and prediction."""
+    total = sum(n for *_, n in pairs)
     if not total:
         return {}
-    hit = sum(c["count"] for c in cells_ if c["label"] == c["prediction"]) / total
+    hit = sum(n for a, b, n in pairs if a == b) / total
     actual, guessed = {}, {}
-    for c in cells_:
-        actual[c["label"]] = actual.get(c["label"], 0) + c["count"]
-        guessed[c["prediction"]] = guessed.get(c["prediction"], 0) + c["count"]
+    for a, b, n in pairs:
+        actual[a] = actual.get(a, 0) + n
+        guessed[b] = guessed.get(b, 0) + n
     chance = sum(n * guessed.get(k, 0) for k, n in actual.items()) / total**2
     return {"Accuracy": hit, "Kappa": (hit - chance) / (1 - chance) if chance < 1 else 0.0}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadloom.operators import fits, forests, importance as imp, shadows, splitting
+from broadloom.operators import fits, forests, grown, importance as imp, shadows, splitting
 from broadloom.operators.fits import placed
 from broadloom.session import stage
 
@@ -216,3 +216,37 @@ def test_registered_boruta_confirms_and_rejects(spark):
 
     rows = contract.queries()["boruta_forest"](spark, "/root/testdata/sf0.001").collect()
     assert {"Confirmed", "Rejected"} <= {r["decision"] for r in rows}
+
+
+@pytest.mark.parametrize("classes", [False, True])
+def test_jointly_grown_trees_are_those_of_spark(spark, classes):
+    rows = [(i, float((i * 7 % 11 + i * 5 % 3 > 6) + classes * (i % 13 > 9)), *[float(i * p % q) for p, q in ((7, 11), (5, 3), (3, 13), (11, 7))]) for i in range(3000)]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "id long, label double, a double, b double, c double, d double")
+    forest = forests.Forest(classes=classes, trees=1, depth=3)
+    numbers = [forests.fold(F.col("id"), 3, 5, r).alias(f"__fold_{r}") for r in range(2)]
+    packed = grown.blocks(df, "id", names, numbers, 3000, 32)
+    used = {(r, h): range(4) for r in range(2) for h in range(3)}
+    model, shares = grown.grow(packed, forest, 3 if classes else 0, not classes, used, 2, 3, 4)
+    sums = grown.scores(packed, forest, 3 if classes else 0, model, 2, 4)
+    packed.unpersist()
+    for r, h in used:
+        train, test = (df.select("*", *numbers).where((F.col(f"__fold_{r}") == h) == held) for held in (False, True))
+        fitted, found = forests._importances(forest, train, names, r * 3 + h)
+        assert shares[r, h].tolist() == pytest.approx([found[n] for n in names], abs=1e-9)
+        seen = fitted.transform(forests.VectorAssembler(inputCols=names, outputCol="features").transform(test))
+        if classes:
+            want = forests._scores(seen, True)
+        else:
+            want = seen.selectExpr("sqrt(avg(pow(prediction - label, 2))) RMSE", "avg(abs(prediction - label)) MAE", "regr_r2(label, prediction) Rsquared").first().asDict()
+        assert forests._metrics(sums[r, h], 3 if classes else 0) == pytest.approx(want, abs=1e-9)
+
+
+def test_resamples_share_their_passes(planted, monkeypatch):
+    df, names = planted
+    calls, real = [], grown.grow
+    monkeypatch.setattr(grown, "grow", lambda *a: calls.append(len(a[4])) or real(*a))
+    forests.recursive_elimination(df, "id", "flag", names, (1,), folds=3, repeats=2, forest=forests.Forest(trees=4, depth=2))
+    assert calls == [6, 6]
+    bags = np.array(list(grown.bag(np.random.default_rng(1).integers(0, 1 << 63, 50_000).astype(np.uint64), 7, 6)))
+    assert abs(bags.mean() - 1) < 0.01 and abs(bags.var() - 1) < 0.02 and np.abs(np.corrcoef(bags) - np.eye(6)).max() < 0.02

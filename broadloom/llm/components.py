@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadloom.llm.common import sorted_join
 from broadloom.session import discard, stage
 
 
@@ -20,11 +21,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
         labels_now = labels.select("node", "component")
-        near = both.join(labels_now, both["v"] == labels_now["node"]).groupBy("u").agg(F.min("component").alias("m"))
-        stepped = labels_now.join(near, labels_now["node"] == near["u"]).select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
+        near = sorted_join(both, labels_now, both["v"] == labels_now["node"]).groupBy("u").agg(F.min("component").alias("m"))
+        stepped = sorted_join(labels_now, near, labels_now["node"] == near["u"]).select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         stepped = stage(stepped, "labels-near")
         jump = stepped.select(F.col("node").alias("at"), F.col("c").alias("jumped"))
-        new = stepped.join(jump, stepped["c"] == jump["at"]).select("node", "was", F.least("c", "jumped").alias("component"))
+        new = sorted_join(stepped, jump, stepped["c"] == jump["at"]).select("node", "was", F.least("c", "jumped").alias("component"))
         new = stage(new, "labels")
         discard(labels, stepped)
         if new.where("component != was").isEmpty():

@@ -15,6 +15,9 @@ components go on: there the members outside the key's largest component are comp
 at most ``TILE`` members a side, so that no task holds a whole hot key, and what comes out are pairs of components,
 not of texts. No link between components is lost.
 
+*Joins.* Both sides of every join here grow with the texts, and Spark sizes them too low: an explode counts as its input, and
+stages of sorted keys are small as files only. So none is ever broadcast (:func:`sorted_join`).
+
 Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer than ``SHINGLE`` words is one shingle,
 null and empty texts have fingerprint zero, which links like any other. Texts are hashed whole, batch by batch. A null key
 has a fingerprint, and the component of the fingerprints it links with; without another key there it is null. Rows with
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.common import map_batches
+from broadloom.llm.common import map_batches, sorted_join
 from broadloom.llm.components import components
 from broadloom.session import discard, releasing_shuffles, stage
 
@@ -140,12 +143,12 @@ def hub_links(members: DataFrame) -> DataFrame:
 def _tiled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``k, p, q, print, own, c, side`` of the keys that hold several components: tile ``(p, q)`` compares its rows of
     side 0 with those of side 1, side 1 being outside the key's largest component."""
-    at = members.select("k", "print", "own").join(labels, members["print"] == labels["node"], "left")
+    at = sorted_join(members.select("k", "print", "own"), labels, members["print"] == labels["node"], "left")
     at = at.select("k", "print", "own", F.coalesce("component", "print").alias("c"))
     per = at.groupBy("k", "c").agg(F.count("*").alias("m"))
     sizes = per.groupBy("k").agg(F.count("*").alias("cs"), F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("n")).where("cs > 1")
     sizes = sizes.select("k", F.col("main.c").alias("main"), F.expr(f"1 + (main.m - 1) div {TILE}").alias("mains"), F.expr(f"1 + (n - main.m - 1) div {TILE}").alias("others"))
-    at = at.join(sizes, "k")
+    at = sorted_join(at, sizes, "k")
     # parts 0 … mains-1 are of the largest component, the rest of the others
     of_main = F.expr("pmod(xxhash64(print), mains)")
     of_rest = F.expr("mains + pmod(xxhash64(print), others)")
@@ -191,12 +194,17 @@ def _counted(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def print_components(prints: DataFrame) -> DataFrame:
-    """``node, component`` over the distinct prints that link with others; the component is one of its prints."""
+def open_keys(prints: DataFrame) -> DataFrame:
+    """``k, print, own, lo, hi``: the keys that may link prints, with the smallest and largest own print."""
     rows = indexed(prints)
     # a key without an own print, or with one print only, links nothing
     open_ = rows.groupBy("k").agg(F.min(F.when(F.col("own"), F.col("print"))).alias("lo"), F.max(F.when(F.col("own"), F.col("print"))).alias("hi"), F.count("*").alias("n"))
-    members = stage(rows.join(open_.where("n > 1 and lo is not null").drop("n"), "k"), "open-keys")
+    return sorted_join(rows, open_.where("n > 1 and lo is not null").drop("n"), "k")
+
+
+def print_components(prints: DataFrame) -> DataFrame:
+    """``node, component`` over the distinct prints that link with others; the component is one of its prints."""
+    members = stage(open_keys(prints), "open-keys")
     near = stage(hub_links(members).distinct(), "hub-links")
     labels = components(near)
     tiles = stage(_tiled(members, labels), "tiles")
@@ -213,10 +221,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         docs = stage(fingerprints(documents, key, text), "fingerprints")
         prints = stage(docs.groupBy("print").agg(F.min("doc").alias("first")), "prints")
         labels = print_components(prints.select("print"))
-        named = prints.join(labels, prints["print"] == labels["node"], "left").select("print", "first", F.coalesce("component", "print").alias("c"))
+        named = sorted_join(prints, labels, prints["print"] == labels["node"], "left").select("print", "first", F.coalesce("component", "print").alias("c"))
         lowest = named.groupBy("c").agg(F.min("first").alias("component_id"))
-        named = stage(named.join(lowest, "c").select(F.col("print").alias("of"), "component_id"), "print-components")
-    out = docs.join(named, docs["print"] == named["of"])
+        named = stage(sorted_join(named, lowest, "c").select(F.col("print").alias("of"), "component_id"), "print-components")
+    out = sorted_join(docs, named, docs["print"] == named["of"])
     return out.select(F.col("doc").alias(key), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -1,8 +1,8 @@
-"""All-relevant selection and recursive elimination over Spark ML forests.
+"""All-relevant selection and recursive elimination over forests.
 
-Forests of a selection are trained by Spark as they are; those of an elimination's resamples grow together
-(:mod:`broadloom.operators.grown`). What comes back to the driver per fit is one importance per
-column. The rows are placed once (:func:`fits.placed`) and kept; fits that do not wait for one another run side by side.
+The forests of an elimination's resamples grow together (:mod:`broadloom.operators.grown`), and so do those of a selection's runs
+that need not wait for each other (:mod:`broadloom.operators.shadowed`): a pass over the rows, binned and kept once, per level.
+What comes back to the driver are splits and one importance per run and column.
 
 Importance is Spark's impurity importance, or with ``importance="permutation"`` the loss that held-out rows gain when
 a column is permuted, mean over spread of the trees (:mod:`broadloom.operators.permutation`).
@@ -22,10 +22,10 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.functions import cells
-from broadloom.operators import dictionary, fits, grown, importance as imp, permutation
+from broadloom.operators import dictionary, fits, grown, importance as imp, shadowed
 from broadloom.operators.joins import assert_unique
 from broadloom.operators.selectors import col
-from broadloom.operators.shadows import BLOCK, ROWS_PER_BLOCK, block_count, block_rows, shadow_arrays, shadow_blocks, shadow_name
+from broadloom.operators.shadows import ROWS_PER_BLOCK
 from broadloom.operators.splitting import fold
 from broadloom.session import shared_path, stage
 
@@ -44,7 +44,7 @@ class Forest:
     depth: int = 6
     bins: int = 32
     seed: int = 12345
-    #: Rows of a training partition; part of the result, as forests bag by partition.
+    #: Rows of a training partition of a single fit by Spark, which bags by partition; forests that grow together do not.
     rows_per_partition: int = 50_000
     #: ``impurity``, or ``permutation`` on the third of the rows that a run then holds out.
     importance: str = "impurity"
@@ -92,17 +92,6 @@ def _importances(forest: Forest, rows: DataFrame, inputs: Sequence[str], run: in
     return model, dict(zip(inputs, model.featureImportances.toArray().tolist()))
 
 
-def _block_importances(forest: Forest, arrays: DataFrame, inputs: Sequence[str], run: int) -> dict[str, float]:
-    """Importances of a run over array blocks with a ``label``: all rows by impurity, or two thirds of them to train and
-    the rest to permute."""
-    if forest.importance == "impurity":
-        return _importances(forest, block_rows(arrays.drop(permutation.POSITION)), inputs, run)[1]
-    model = _fitted(forest, block_rows(arrays).where(permutation.trained(run)), inputs, run)
-    trees = permutation.trees_of(model)
-    increases = permutation.loss_increases(arrays, "label", inputs, trees, run, forest.seed, forest.classes)
-    return permutation.importances(increases, inputs, len(trees))
-
-
 @dataclass
 class Relevance:
     """Result of an all-relevant selection: the importance history and one row per field."""
@@ -125,25 +114,19 @@ def all_relevant(
 
     A field scores a hit when it beats the best shadow of a run. Two binomial tests, corrected for the
     number of fields, confirm or reject it; rejected fields leave the next forests. At most
-    ``max_runs - 1`` forests are grown, ``slots`` at once where none of them can wait for a verdict of another.
+    ``max_runs - 1`` forests are grown, together where none of them can wait for a verdict of another
+    (``slots`` is kept for callers and changes nothing).
     With few runs and many fields nothing can be confirmed: the result is then a ranking, and ``decision`` is
     only a column.
     """
     table = assert_unique(stage(model_table(df, key, target, fields, forest.classes), "features"), key)
-    blocks = _placed_blocks(table, key, ["label", *fields], forest, rows_per_block)
+    blocks = shadowed.blocks(table, key, ["label"], fields, forest.seed, forest.bins, rows_per_block)
     try:
-        return _relevance(blocks, "label", list(fields), max_runs, forest, fits.slots_for(table.count(), slots))
+        return _relevance(blocks, "label", list(fields), max_runs, forest)
     finally:
         blocks.unpersist()
 
 
-def _placed_blocks(staged: DataFrame, key: str, columns: Sequence[str], forest: Forest, rows_per_block: int) -> DataFrame:
-    """Shadow blocks of a stage with unique keys (a repeated key would make one block as large), placed and kept."""
-    blocks = block_count(staged.count(), rows_per_block)
-    made = stage(shadow_blocks(staged, key, columns, blocks, forest.seed), "blocks")
-    return fits.placed(made, BLOCK, max(1, forest.rows_per_partition // rows_per_block))
-
-
 def _certain_runs(hit_count: dict[str, int], done: int, tentative: list[str], fields: int) -> int:
     """Runs that come before any tentative field can be decided, whatever their hits; they need not wait for each other."""
     ahead = 1
@@ -152,8 +135,8 @@ def _certain_runs(hit_count: dict[str, int], done: int, tentative: list[str], fi
     return ahead
 
 
-def _relevance(blocks: DataFrame, label: str, fields: list[str], max_runs: int, forest: Forest, slots: int = 1) -> Relevance:
-    spark = blocks.sparkSession
+def _relevance(blocks: shadowed.Blocks, label: str, fields: list[str], max_runs: int, forest: Forest) -> Relevance:
+    spark = blocks.packed.sparkSession
     hit_count = dict.fromkeys(fields, 0)
     decided = dict.fromkeys(fields, "Tentative")
     history: list[tuple[int, str, float, bool]] = []
@@ -165,14 +148,9 @@ def _relevance(blocks: DataFrame, label: str, fields: list[str], max_runs: int,
             break
         ahead = min(_certain_runs(hit_count, done, tentative, len(fields)), max_runs - 1 - done)
 
-        def score(run: int) -> tuple[list[str], dict[str, float]]:
-            copies = [run + k * max_runs for k in range(math.ceil(LEAST_SHADOWS / len(active)))]
-            shadows = [shadow_name(f, c) for c in copies for f in active]
-            arrays = shadow_arrays(blocks, [label, *active], active, copies, forest.seed, permutation.POSITION).withColumnRenamed(label, "label")
-            return shadows, _block_importances(forest, arrays, active + shadows, run)
-
         runs = range(done + 1, done + ahead + 1)
-        for run, (shadows, found) in zip(runs, fits.concurrently(spark, [lambda run=run: score(run) for run in runs], slots)):
+        copies = {run: [run + k * max_runs for k in range(math.ceil(LEAST_SHADOWS / len(active)))] for run in runs}
+        for run, (shadows, found) in shadowed.importances(blocks, label, active, copies, forest).items():
             best = max(found[s] for s in shadows)
             history += [(run, f, found[f], False) for f in active] + [(run, s, found[s], True) for s in shadows]
             for f in active:
@@ -199,8 +177,8 @@ def chunked_relevance(
 ) -> DataFrame:
     """All-relevant selection per numeric target and column chunk: ``(target, chunk, field, …)``.
 
-    ``df`` is run once, into a stage with all columns; the blocks of a chunk hold its columns and all targets, so the
-    data is exchanged once per chunk, not once per target and run. Targets and chunks are independent, ``slots`` of
+    ``df`` is run once, into a stage with all columns, and its blocks hold the columns of all chunks and all targets, so the
+    data is exchanged once, not once per chunk, target and run. Targets and chunks are independent, ``slots`` of
     them run at once. With ``folder`` each result is saved as it is found, and a job that starts again with the same
     folder and settings goes on with what is missing; other results there are left alone.
     """
@@ -214,27 +192,25 @@ def chunked_relevance(
         labels = [col(t).cast("double").alias(t) for t in targets if t not in every]
         numbers = df.select(col(key), *labels, *[_filled(f).alias(f) for f in every])
         staged = assert_unique(stage(numbers, "features"), key)
-        open_chunks = dict.fromkeys(c for c, _ in missing)
-        blocks = {c: _placed_blocks(staged, key, list(dict.fromkeys([*targets, *chunks[c]])), forest, rows_per_block) for c in open_chunks}
+        blocks = shadowed.blocks(staged, key, targets, every, forest.seed, forest.bins, rows_per_block)
 
         def select(chunk: int, target: str) -> None:
-            found = _relevance(blocks[chunk], target, list(chunks[chunk]), max_runs, forest).fields
+            found = _relevance(blocks, target, list(chunks[chunk]), max_runs, forest).fields
             labelled = found.select(F.lit(target).alias("target"), F.lit(chunk).alias("chunk"), "*")
             # one row per field; a folder of its own, as jobs end side by side
             labelled.coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings={settings[target, chunk]}")
 
         try:
-            fits.concurrently(spark, [lambda c=c, t=t: select(c, t) for c, t in missing], fits.slots_for(staged.count(), slots))
+            fits.concurrently(spark, [lambda c=c, t=t: select(c, t) for c, t in missing], slots)
         finally:
-            for b in blocks.values():
-                b.unpersist()
+            blocks.unpersist()
     asked = F.col("settings").isin(sorted(settings.values()))
     return spark.read.parquet(folder).where(asked).drop("settings")
 
 
 def _settings(target: str, chunk: int, fields: list[str], max_runs: int, forest: Forest, rows_per_block: int) -> str:
     """A digest of all that a saved result depends on, besides the data."""
-    return "s" + hashlib.sha256(repr((target, chunk, fields, max_runs, forest, rows_per_block)).encode()).hexdigest()
+    return "s" + hashlib.sha256(repr(("grown together", target, chunk, fields, max_runs, forest, rows_per_block)).encode()).hexdigest()
 
 
 def _saved(spark, folder: str) -> set[str]:

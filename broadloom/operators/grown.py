@@ -25,6 +25,8 @@ PARTITION_ROWS, PARTITIONS = 20_000, 48
 _STEP, _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: A Poisson draw of mean 1 for each 16 bits.
 _DRAWS = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
+#: The 16 bits from which on a draw is at least 1, 2, …
+_FROM = np.searchsorted(_DRAWS, np.arange(1, int(_DRAWS[-1]) + 1)).astype(np.uint16)
 
 
 def edges(rows: DataFrame, key: str, fields: Sequence[str], count: int, bins: int) -> list[np.ndarray]:
@@ -80,7 +82,11 @@ def bag(hashes: np.ndarray, seed: int, trees: int) -> Iterator[np.ndarray]:
             z = (z ^ (z >> np.uint64(30))) * _ONE
             z = (z ^ (z >> np.uint64(27))) * _TWO
             lanes = (z ^ (z >> np.uint64(31))).view(np.uint16).reshape(-1, 4)
-        yield _DRAWS[lanes[:, t % 4]]
+        lane = np.ascontiguousarray(lanes[:, t % 4])
+        drawn = (lane >= _FROM[0]).view(np.uint8)
+        for bits in _FROM[1:]:
+            drawn += lane >= bits
+        yield drawn
 
 
 def walk(flat: np.ndarray, base: np.ndarray, feature: np.ndarray, cut: np.ndarray, steps: int) -> np.ndarray:
